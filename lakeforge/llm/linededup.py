@@ -235,7 +235,8 @@ def _with_bitmaps(docs: DataFrame, ws: Workspace, others: list[str], rules: dict
     maps = maps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "bitmap")
     rows = docs.select("doc_id", *others, text_bytes().alias("_body"), F.xxhash64("text").alias("_own"))
     met = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
-    return rows.join(maps, met, "left").select("doc_id", *others, "_body", "bitmap")
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    return rows.join(maps.hint("merge"), met, "left").select("doc_id", *others, "_body", "bitmap")
 
 
 def digest(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
