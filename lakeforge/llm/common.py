@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="lakeforge-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(at))
+
+
 class Workspace:
     """Tables that cut a plan's lineage, written below the shared folder.
 
@@ -54,6 +73,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lakeforge-{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
@@ -83,6 +103,8 @@ def text_bytes(name: str = "text") -> Column:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose function sees batches of at most BATCH_ROWS rows."""
 
+    ship(df.sparkSession)
+
     def sliced(batches):
         for b in batches:
             for at in range(0, max(b.num_rows, 1), BATCH_ROWS):

@@ -171,7 +171,8 @@ def _spans(rule: Rule, rank: int) -> str:
         f" (a, x) -> named_struct('at', a.at + x.`0` + x.`1`, 'out', if(x.`2` >= {rule.least}, array_append(a.out, named_struct('start', a.at + x.`0`, 'rank', {rank}, 'end', a.at + x.`0` + x.`1`)), a.out)),"
         f" a -> a.out)"
     )
-    return f"if(_scan_{rule.kind}, {walk}, {none})"
+    # One look tells most texts apart; only texts with a match are walked.
+    return f"if(_scan_{rule.kind} and rlike(_text, {quoted}), {walk}, {none})"
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
