@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,15 +101,15 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose function sees batches of at most BATCH_ROWS rows."""
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow whose function sees batches of at most ``rows`` rows."""
 
     ship(df.sparkSession)
 
     def sliced(batches):
         for b in batches:
-            for at in range(0, max(b.num_rows, 1), BATCH_ROWS):
-                yield b.slice(at, BATCH_ROWS)
+            for at in range(0, max(b.num_rows, 1), rows):
+                yield b.slice(at, rows)
 
     return df.mapInArrow(lambda batches: f(sliced(batches)), schema)
 
@@ -124,6 +125,27 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of a string column in the order of the texts.
+
+    Returns each word's place in the list of the batch's distinct words, the texts' offsets in
+    the words, and that list. Work that depends on the word alone is then done once a word and batch.
+    """
+    lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    flat = lists.flatten().dictionary_encode()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.combine_chunks()
+    place = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+    blank = pc.index(flat.dictionary, "").as_py()  # white space at a text's ends, or an empty text
+    if blank >= 0:
+        full = place != blank
+        counts = np.concatenate(([0], np.cumsum(full)))
+        place, ends = place[full], counts[ends]
+    return place, ends, flat.dictionary
+
+
 def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` within each [offsets[i], offsets[i+1])."""
     total = np.zeros(len(values) + 1, np.int64)
@@ -142,12 +164,9 @@ def byte_set(chars: str) -> np.ndarray:
 LEADS = (np.arange(256) & 0xC0) != 0x80
 
 
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def with_empty(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))
+def text_string(name: str = "text") -> Column:
+    """The whole text; null counts as the empty text."""
+    return F.coalesce(F.col(name), F.lit("")).cast("string")
 
 
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -21,16 +21,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_arrow, mix64, text_bytes
+from .common import Workspace, batch_words, map_arrow, mix64, text_string
 
 LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS = 256, 4, 15
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -47,46 +48,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        for p, e in zip(pieces, encoded, strict=True):
-            self.cache[p] = np.array(e.ids, self.kind).tobytes()
-
-    def _of(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.cache.get, words))
-        if None in found:
-            # A word and the mark behind it are separate tokens: the word alone is seen more often.
-            parts = []
-            for w, f in zip(words, found, strict=True):
-                if f is None:
-                    parts += [w[:-1], w[-1:]] if w[-1:] in b".,|" and w[:-1].isalpha() else [w]
-            missing = list({p for p in parts if p not in self.cache})
-            if len(self.cache) > CACHE:
-                missing = list(set(parts))
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            for i, f in enumerate(found):
-                if f is None:
-                    w = words[i]
-                    if w not in self.cache:
-                        self.cache[w] = get(w[:-1]) + get(w[-1:])
-                    found[i] = self.cache[w]
-        return found
+        # Tokens that end a word: words of letters alone can be encoded together and told apart again.
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the words into the cache."""
+        cache, letters, marked, odd = self.cache, {}, [], []
+        for w in words:
+            s = w.decode()
+            if s.isalpha():
+                letters[w] = s
+            elif s[-1] in ".,|!?;:" and s[:-1].isalpha():
+                # A word and the mark behind it are separate tokens, and the word alone is seen more often.
+                stem = w[:-1]
+                marked.append(w)
+                if stem not in cache:
+                    letters[stem] = s[:-1]
+            else:
+                odd.append(w)
+        if letters:
+            ids = self._ids(" ".join(letters.values()))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(letters):
+                raw, at = ids.tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
+                for k, w in enumerate(letters):
+                    cache[w] = raw[at[k] : at[k + 1]]
+            else:
+                odd += letters
+        for w in odd:
+            cache[w] = self._ids(w.decode()).tobytes()
+        for w in marked:
+            mark = w[-1:]
+            if mark not in cache:
+                cache[mark] = self._ids(mark.decode()).tobytes()
+            cache[w] = cache[w[:-1]] + cache[mark]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column, END last."""
+        low = pc.ascii_lower(texts)
+        # Special tokens are matched before letters change case, so such texts keep theirs.
+        special = pc.match_substring(texts, "<|")
+        place, ends, words = batch_words(pc.if_else(special, texts, low))
+        each = list(map(self.cache.get, words := words.cast(pa.large_binary()).to_pylist()))
+        missing = {w for w, x in zip(words, each, strict=True) if x is None and w}
+        if missing:
+            if len(self.cache) + len(missing) > CACHE:
+                self.cache.clear()
+                missing = {w for w in words if w}
+            self._learn(missing)
+            each = list(map(self.cache.get, words))
+        each = [x or b"" for x in each]
+        table = np.frombuffer(b"".join(each), self.kind)
+        length = np.array([len(x) for x in each], np.int64) // self.kind.itemsize
+        start = np.cumsum(length) - length
+        n = length[place]
+        out_end = np.cumsum(n)
+        ids = table[np.repeat(start[place] - (out_end - n), n) + np.arange(out_end[-1] if len(n) else 0)]
+        bound = np.concatenate(([0], out_end))[ends]
+        end = np.array([END], self.kind)
+        return [np.concatenate((ids[bound[k] : bound[k + 1]], end)) for k in range(len(ends) - 1)]
 
     def __call__(self, text: bytes) -> bytes:
-        # Special tokens are matched before letters change case, so such texts keep theirs.
-        words = (text if b"<|" in text else text.lower()).split()
-        if not words:
-            return self.end
-        found = list(map(self.cache.get, words))
-        return b"".join(self._of(words) if None in found else found) + self.end
+        return self.batch(pa.array([text.decode()]))[0].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -154,12 +183,12 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encode, project = encoder(path), Projector()
         for b in batches:
-            ids = [encode(t) for t in b.column(2).to_pylist()]
-            vectors = np.array([project.vector(np.frombuffer(x, encode.kind)) for x in ids]).reshape(-1, BUCKETS)
+            ids = encode.batch(b.column(2))
+            vectors = np.array([project.vector(x) for x in ids]).reshape(-1, BUCKETS)
             place = hilbert(project.cells(vectors), BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.int64()), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "place", "tie", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.int64()), b.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "place", "tie", "ids"])
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), text_bytes()), run, f"doc_id {kind}, place long, tie long, ids binary")
+    return map_arrow(docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), text_string()), run, f"doc_id {kind}, place long, tie long, ids binary", rows=4000)
 
 
 def _pieces(kind: np.dtype, length: int):
