@@ -11,12 +11,14 @@ words is a single shingle. Two documents are linked if 100 * |A & B| >= 75 * |A
    order, which share the longest prefixes, and the region's first class are candidates. In a
    region that holds more than WIDE classes the order goes by DEEP further values, so it
    is the deeper prefixes that put neighbours together.
-4. Candidates are confirmed on full shingle sets, in rounds: those that met most often come
-   first, and pairs already joined through others need no look.
-5. Regions wider than WIDE, where not each pair was compared, are finished exactly: every class
-   outside the region's largest component is compared with all of the region's classes in other
-   components, until no link is new. No candidate is dropped or capped.
-
+4. Candidates whose sketches (a byte of each MinHash value) agree in ALIKE places or more are
+   confirmed on full shingle sets: first each class with the least of its candidates, which in a
+   large group is nearly always the same one, then those that this has not joined yet.
+5. In regions wider than WIDE not each pair was a neighbour. Where such a region holds several components,
+   each class outside the largest one is compared with all of the region's classes, in blocks of BLOCK
+   by BLOCK sketches; what is alike is confirmed as above. No candidate is dropped or capped.
+
+Two sets at similarity 0.75 or more agree in fewer than ALIKE places with a probability below 1e-6.
 A pair at similarity 0.75 shares a region in some order with probability 1 - (1 - 0.75**4)**28,
 all but 2.4 in 100,000.
 
@@ -28,48 +30,45 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Workspace, map_arrow, mix64, text_bytes
+from .common import SHINGLE, Workspace, batch_words, map_arrow, mix64, text_string
 
 PERCENT = 75
 TREES, DEPTH, DEEP = 28, 4, 4
 WIDE = 16
-WORDS = 300_000
+ALIKE, BLOCK = 62, 1024
 
 _FACTORS = mix64(np.arange(SHINGLE), 3) | np.uint64(1)
 _A = mix64(np.arange(TREES * DEPTH), 5) | np.uint64(1)
 _B = mix64(np.arange(TREES * DEPTH), 7)
 
 
-class Shingler:
-    """Distinct 64-bit shingle hashes of a text, sorted. Word hashes are cached, up to WORDS words."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < SHINGLE:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > WORDS:
-                self.cache.clear()
-            for i, f in enumerate(found):
-                if f is None:
-                    found[i] = self.cache[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(found, np.uint64)
-        n = len(h) - SHINGLE + 1
-        with np.errstate(over="ignore"):
-            total = h[:n] * _FACTORS[0]
-            for k in range(1, SHINGLE):
-                total += mix64(h[k : n + k], k) * _FACTORS[k]
-        return np.unique(mix64(total))
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct 64-bit shingle hashes, sorted, of each text of a string column."""
+    place, ends, words = batch_words(pc.ascii_lower(texts))
+    words = words.cast(pa.large_binary()).to_pylist()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[place]
+    out = []
+    with np.errstate(over="ignore"):
+        # A word's hash is mixed anew for each of its places in a shingle.
+        total = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            total += mix64(h[k : k + len(total)], k) * _FACTORS[k]
+        total = mix64(total)
+    for k in range(len(ends) - 1):
+        at, n = int(ends[k]), int(ends[k + 1] - ends[k])
+        if n >= SHINGLE:
+            out.append(np.unique(total[at : at + n - SHINGLE + 1]))
+        elif n:
+            few = b" ".join(words[i] for i in place[at : at + n])
+            out.append(np.array([xxhash.xxh3_64_intdigest(few, seed=n)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -87,17 +86,13 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cid (16 bytes that stand for the set; null if it is empty), signature."""
 
     def run(batches):
-        shingles = Shingler()
         for b in batches:
-            n, cid, sig = [], [], []
-            for text in b.column(1).to_pylist():
-                h = shingles(text)
-                n.append(len(h))
-                cid.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                sig.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cid", "signature"])
+            sets = shingle_sets(b.column(1))
+            cid = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+            sig = [signature(h).tobytes() if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cid", "signature"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_bytes()), run, "doc_id long, n_shingles long, cid binary, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_string()), run, "doc_id long, n_shingles long, cid binary, signature binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -180,144 +175,174 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(r, pa.int64()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "region", "member", "n"])
 
 
-def components(links: DataFrame, ws: Workspace, label: str) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b): roots are the least nodes. Each round hooks nodes to their least neighbour and jumps.
+def components(edges: DataFrame, ws: Workspace, label: str) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): roots are the least nodes.
 
-    Labels are hashes, so chains shorten as fast as random ones: rounds grow with the logarithm of a component.
+    Each round hooks every node to its least neighbour, follows that neighbour's hook, and keeps the
+    edges between the nodes so reached. Nodes are hashes, so rounds grow with the logarithm of a component.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = ws.write(both.where("a <> b").distinct(), f"{label}-e0")
-    roots = ws.write(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), f"{label}-r0")
-    step = 0
+    edges = ws.write(edges.select("a", "b").where("a <> b").distinct(), f"{label}-e0")
+    maps: list[DataFrame] = []
     while not edges.isEmpty():
-        step += 1
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        least = ws.write(least, f"{label}-p{step}")
-        up = least.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        hooked = ws.write(least.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), f"{label}-h{step}")
-        to = hooked.select(F.col("a").alias("root"), F.col("p").alias("_p"))
-        new_roots = ws.write(roots.join(to, "root", "left").select("node", F.coalesce("_p", "root").alias("root")), f"{label}-r{step}")
-        pa_, pb = hooked.select("a", F.col("p").alias("pa")), hooked.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        new_edges = ws.write(edges.join(pa_, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), f"{label}-e{step}")
-        ws.drop(f"{label}-p{step}", f"{label}-h{step}", f"{label}-r{step - 1}", f"{label}-e{step - 1}")
-        roots, edges = new_roots, new_edges
-    return roots
-
-
-def _sets_of(docs: DataFrame) -> DataFrame:
+        both = edges.union(edges.select("b", "a"))
+        hooks = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
+        up = hooks.select(F.col("node").alias("p"), F.col("p").alias("q"))
+        maps.append(ws.write(hooks.join(up, "p").select("node", F.col("q").alias("root")), f"{label}-m{len(maps)}"))
+        left, right = (maps[-1].select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        met = edges.join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        edges = ws.write(met.where("a <> b").distinct(), f"{label}-e{len(maps)}")
+        ws.drop(f"{label}-e{len(maps) - 1}")
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = maps[0]
+    for step in maps[1:]:
+        to = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        roots = roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return ws.write(roots, f"{label}-roots")
+
+
+def _texts_of(docs: DataFrame) -> DataFrame:
     """(cid, hashes) from the texts of chosen documents."""
 
     def run(batches):
-        shingles = Shingler()
         for b in batches:
-            found = [shingles(t) for t in b.column(0).to_pylist()]
+            found = shingle_sets(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], pa.binary()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["cid", "hashes"])
 
-    return map_arrow(docs.select(text_bytes()), run, "cid binary, hashes array<long>").where("cid is not null")
+    return map_arrow(docs.select(text_string()), run, "cid binary, hashes array<long>").where("cid is not null")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that the full sets link."""
-    left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("_x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("_y"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_s"))
-    return met.where(f"100 * _i >= {PERCENT} * (_s - _i)").select("a", "b")
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), TREES * DEPTH)
 
 
 class Forest:
     """The classes of a corpus and the links between them."""
 
     def __init__(self, docs: DataFrame, ws: Workspace):
-        self.docs, self.ws, self.rounds = docs, ws, 0
+        self.docs, self.ws = docs, ws
         self.sets = ws.write(document_sets(docs), "documents")
         full = self.sets.where("cid is not null")
-        first = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-        # A class's signature comes with its first document's row.
-        signed = full.select("cid", F.col("doc_id").alias("rep"), "signature")
-        met = (first["cid"] == signed["cid"]) & first["rep"].eqNullSafe(signed["rep"])
-        self.classes = ws.write(first.join(signed, met, "left_outer").select(first["cid"], first["rep"], "n", "signature").dropDuplicates(["cid"]), "classes")
+        # A class's members have one signature, so any row's will do.
+        self.classes = ws.write(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")), "classes")
+
+    def sketches(self) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                low = [x[::4] for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], ["cid", "sketch"])
+
+        return self.classes.select("cid", "signature").mapInArrow(run, "cid binary, sketch binary")
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b, weight): pairs with the number of orders in which they met; (region, cid, n): members of wide regions."""
+        """(a, b): distinct pairs; (region, cid, n): members of wide regions and of those at the ends of sorted runs."""
         ranges = max(2, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         order = ["region", "deep", "cid"]
         trees = forest_rows(self.classes).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         found = self.ws.write(map_arrow(trees, _neighbours, _FOUND), "found")
-        pairs = self.ws.write(found.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("weight")), "pairs")
+        pairs = found.where("a is not null").select("a", "b").distinct()
         return pairs, found.where("member is not null").select("region", F.col("member").alias("cid"), "n")
 
-    def _shingle_sets(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(members.select("cid")).distinct()
-        reps = self.classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("_rep"), F.col("cid").alias("_cid"))
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(reps.select("_rep").distinct(), F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
-        made = _sets_of(texts)
-        return self.ws.write(made.join(ids, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-
-    def _labelled(self, frame: DataFrame, roots: DataFrame | None, column: str, into: str) -> DataFrame:
-        if roots is None:
-            return frame.withColumn(into, F.col(column))
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sketches agree in ALIKE places or more."""
+        sketches = self.ws.write(self.sketches(), "sketches")
+        left, right = (sketches.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    same = (_matrix(b.column(2)) == _matrix(b.column(3))).sum(axis=1)
+                    yield b.select([0, 1]).filter(pa.array(same >= ALIKE))
+
+        met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
+        return map_arrow(met, run, "a binary, b binary")
+
+    def confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Those of the pairs that their full sets link, with their other columns."""
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        reps = self.classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(reps, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
+        # Rows that share a doc_id may differ in text: only sets that are asked for stay, each once.
+        sets = self.ws.write(_texts_of(texts).join(ids, "cid", "left_semi").dropDuplicates(["cid"]), f"sets-{label}")
+        left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("_x"))
+        right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("_y"))
+        met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        met = met.select(*pairs.columns, F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_s"))
+        out = self.ws.write(met.where(f"100 * _i >= {PERCENT} * (_s - _i)").select(*pairs.columns), f"links-{label}")
+        self.ws.drop(f"sets-{label}")
+        return out
+
+    def labelled(self, frame: DataFrame, roots: DataFrame, column: str, into: str) -> DataFrame:
         to = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
         return frame.join(to, column, "left").withColumn(into, F.coalesce("_root", column)).drop("_root")
 
-    def links(self) -> DataFrame | None:
-        """(node, root) of every linked class; None if there are no candidates."""
+    def merged(self, roots: DataFrame, links: DataFrame, label: str) -> DataFrame:
+        """The roots after ``links`` between components (ra, rb) are added."""
+        if links.isEmpty():
+            return roots
+        step = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.ws, label)
+        to = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        moved = roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+        fresh = step.join(roots.select("node"), "node", "left_anti")
+        return self.ws.write(moved.union(fresh.select("node", "root")), f"{label}-merged")
+
+    def roots(self) -> DataFrame:
+        """(node, root) of every linked class."""
         ws = self.ws
         pairs, members = self.candidates()
-        sets = self._shingle_sets(pairs, members)
-        roots, todo, most, known = None, pairs, 1, []
-        while True:
-            # Pairs whose classes are in one component already need no look.
-            todo = self._labelled(self._labelled(todo, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b", "weight")
-            todo = ws.write(todo, f"todo-{self.rounds}")
-            if todo.isEmpty():
-                break
-            order = Window.partitionBy("b").orderBy(F.col("weight").desc(), "a")
-            ranked = todo.withColumn("_k", F.row_number().over(order))
-            now = ranked.where(F.col("_k") <= most) if most else ranked
-            roots = self._merge(_confirmed(now.select("a", "b"), sets), roots, known)
-            if not most:
-                break
-            todo, most = ranked.where(F.col("_k") > most).drop("_k"), {1: 4, 4: 0}[most]
-        while True:
-            more = self._wide(members, roots)
-            new = ws.write(_confirmed(more, sets), f"wide-{self.rounds}")
-            if new.isEmpty():
-                return roots
-            roots = self._merge(new, roots, known)
-
-    def _merge(self, links: DataFrame, roots: DataFrame | None, known: list[DataFrame]) -> DataFrame | None:
-        self.rounds += 1
-        new = self.ws.write(links, f"links-{self.rounds}")
-        if new.isEmpty():
-            return roots
-        known.append(new)
-        every = known[0]
-        for x in known[1:]:
-            every = every.union(x)
-        # Earlier links stand in for earlier components.
-        return components(every, self.ws, f"c{self.rounds}")
-
-    def _wide(self, members: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """In each wide region, the pairs between components that have one class outside the region's largest component."""
-        named = self.ws.write(self._labelled(members, roots, "cid", "root"), f"members-{self.rounds}")
+        rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        ranked = ws.write(self.alike(pairs).withColumn("_k", rank), "ranked")
+        first = self.confirmed(ranked.where("_k = 1").select("a", "b"), "first")
+        roots = components(first, ws, "first")
+        rest = self.labelled(self.labelled(ranked.where("_k > 1").select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
+        rest = ws.write(rest.where("ra <> rb"), "rest")
+        if not rest.isEmpty():
+            roots = self.merged(roots, self.confirmed(rest, "rest"), "second")
+        wide = ws.write(self.wide(members, roots), "wide")
+        if not wide.isEmpty():
+            roots = self.merged(roots, self.confirmed(wide, "wide"), "third")
+        return roots
+
+    def wide(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """(a, b, ra, rb): alike pairs between components in wide regions, one of them outside the region's largest component."""
+        ws = self.ws
+        named = ws.write(self.labelled(members.distinct(), roots, "cid", "root"), "members")
         sizes = named.groupBy("region", "root").agg(F.count("*").alias("_size"))
-        regions = sizes.groupBy("region").agg(F.max_by("root", F.struct("_size", "root")).alias("_main"), F.count("*").alias("_roots"))
-        mixed = regions.where("_roots > 1").select("region", "_main")
-        inside = self.ws.write(named.join(mixed, "region"), f"mixed-{self.rounds}")
-        outside = inside.where("root <> _main").select("region", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-        met = inside.select("region", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")).join(outside, "region")
-        size = f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)"
-        return met.where(f"rx <> ry and {size}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        regions = sizes.groupBy("region").agg(F.max_by("root", F.struct("_size", "root")).alias("_main"), F.sum("_size").alias("_all"), F.max("_size").alias("_most"))
+        mixed = regions.where("_most < _all").withColumn("_out", F.col("_all") - F.col("_most"))
+        sketches = ws.spark.read.schema("cid binary, sketch binary").parquet(f"{ws.path}/sketches")
+        rows = named.join(mixed.hint("merge"), "region").join(sketches.hint("merge"), "cid")
+        # A block of the region's classes meets a block of those outside its largest component.
+        inside = rows.select("region", "cid", "root", "n", "sketch", F.expr(f"cast(pmod(xxhash64(cid), ceil(_all / {BLOCK})) as int) as i"), F.explode(F.expr(f"sequence(0, cast(ceil(_out / {BLOCK}) as int) - 1)")).alias("j"), F.lit(False).alias("asks"))
+        outside = rows.where("root <> _main").select("region", "cid", "root", "n", "sketch", F.explode(F.expr(f"sequence(0, cast(ceil(_all / {BLOCK}) as int) - 1)")).alias("i"), F.expr(f"cast(pmod(xxhash64(cid), ceil(_out / {BLOCK})) as int) as j"), F.lit(True).alias("asks"))
+
+        def compare(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            asks = t.column("asks").to_numpy()
+            cid, root, n = np.array(t.column("cid").to_pylist(), object), np.array(t.column("root").to_pylist(), object), t.column("n").to_numpy()
+            m = _matrix(t.column("sketch").combine_chunks())
+            q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
+            out = [[], [], [], []]
+            for i in q.tolist():
+                near = (100 * np.minimum(n[x], n[i]) >= PERCENT * np.maximum(n[x], n[i])) & (root[x] != root[i])
+                y = x[near]
+                for k in y[(m[y] == m[i]).sum(axis=1) >= ALIKE].tolist():
+                    lo, hi = (i, k) if cid[i] < cid[k] else (k, i)
+                    for column, v in zip(out, (cid[lo], cid[hi], root[lo], root[hi]), strict=True):
+                        column.append(v)
+            return pa.table([pa.array(c, pa.binary()) for c in out], names=["a", "b", "ra", "rb"])
+
+        blocks = inside.unionByName(outside).groupBy("region", "i", "j")
+        return blocks.applyInArrow(compare, "a binary, b binary, ra binary, rb binary").distinct()
 
 
 def cluster(docs: DataFrame, ws: Workspace) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     forest = Forest(docs, ws)
-    roots = forest.links()
-    named = forest._labelled(forest.classes.select("cid", "rep"), roots, "cid", "root")
+    named = forest.labelled(forest.classes.select("cid", "rep"), forest.roots(), "cid", "root")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = ws.write(named.join(least, "root").select("cid", "component_id"), "labels")
-    rows = forest.sets.select("doc_id", "n_shingles", "cid").join(labels, "cid", "left")
+    rows = forest.sets.select("doc_id", "n_shingles", "cid").join(labels.hint("merge"), "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "cid")
 
