@@ -43,6 +43,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "semi_join": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", None),
     "anti_join": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", None),
     # aggregates
+    "global_sum": ("SELECT sum(l_extendedprice) AS s, count() AS n FROM lineitem WHERE l_quantity > 10", "SELECT sum(l_extendedprice) AS s, count(*) AS n FROM lineitem WHERE l_quantity > 10"),
     "group_by": ("SELECT l_returnflag, l_linestatus, count() AS n, sum(l_quantity) AS q, avg(l_extendedprice) AS p, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, avg(l_extendedprice) AS p, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "global_aggregate_empty": ("SELECT count() AS n, sum(l_quantity) AS s, avg(l_quantity) AS a, min(l_quantity) AS lo FROM lineitem WHERE l_orderkey < 0", "SELECT count(*) AS n, sum(l_quantity) AS s, avg(l_quantity) AS a, min(l_quantity) AS lo FROM lineitem WHERE l_orderkey < 0"),
     "distinct_aggregates": ("SELECT event_type, count(DISTINCT user_id) AS users, sum(DISTINCT user_id) AS s, uniqExact(user_id) AS u FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users, CAST(sum(DISTINCT user_id) AS BIGINT) AS s, count(DISTINCT user_id) AS u FROM events GROUP BY event_type"),
