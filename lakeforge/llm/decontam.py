@@ -28,37 +28,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, map_arrow, mix64, text_bytes
+from .common import SHINGLE, batch_words, map_arrow, mix64, text_bytes, text_string
 
 PERCENT = 75
 BITS, BLOCKS = 128, 16
 RADIUS = 2 * BLOCKS - 1
 BLOCK_BYTES = 16 << 20
-WORDS = 300_000
 
 _FACTORS = mix64(np.arange(SHINGLE), 23) | np.uint64(1)
 
 
-class Hasher:
-    """64-bit hashes of words, cached, and of runs of words."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def words(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > WORDS:
-                self.cache.clear()
-            for i, f in enumerate(found):
-                if f is None:
-                    found[i] = self.cache[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(found, np.uint64)
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -90,12 +76,11 @@ class Index:
     """One block of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        hasher = Hasher()
         self.ids, self.counts, self.prints = [], [], []
         by_length: dict[int, list[np.ndarray]] = {}
         keys, values = [], []
         for item_id, text in items:
-            h = hasher.words(text)
+            h = hashes(text.lower().split())
             if not len(h):
                 continue
             n, k = len(h), len(self.ids)
@@ -118,6 +103,7 @@ class Index:
         self.mask = np.uint64((1 << max(10, int(16 * len(every)).bit_length())) - 1)
         self.flags = np.zeros(int(self.mask) + 1, bool)
         self.flags[every & self.mask] = True
+        self.least = min((-(-2 * PERCENT * (n - SHINGLE + 1) // (100 + PERCENT)) for n in self.lengths if n >= SHINGLE), default=1 << 62)
 
     @staticmethod
     def _key(n: int, block: int, value: int) -> int:
@@ -168,6 +154,30 @@ class Index:
         return [best[k] for k in sorted(best)]
 
 
+    def find_all(self, texts: pa.Array) -> list[tuple]:
+        """(text, item, first word, words, Hamming distance, similarity) for a string column.
+
+        Texts with fewer of the items' shingles than the shortest item needs are passed over at once.
+        """
+        place, ends, words = batch_words(pc.ascii_lower(texts))
+        h = hashes(words.cast(pa.large_binary()).to_pylist())[place]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+
+        def own(width: int, hit: np.ndarray) -> np.ndarray:
+            """The texts of the hits whose words are all of one text."""
+            at = np.flatnonzero(hit)
+            return text[at[text[at] == text[at + width - 1]]]
+
+        found = np.zeros(len(ends) - 1, bool)
+        if len(h) >= SHINGLE:
+            near = own(SHINGLE, self.flags[runs(h, SHINGLE) & self.mask])
+            found |= np.bincount(near, minlength=len(found)) >= self.least
+        for n, known in self.lengths.items():
+            if n < SHINGLE and len(h) >= n:
+                found[own(n, np.isin(runs(h, n), known))] = True
+        return [(k, *m) for k in np.flatnonzero(found).tolist() for m in self.find(h[ends[k] : ends[k + 1]])]
+
+
 _indexes: dict[int, Index] = {}
 
 
@@ -208,15 +218,15 @@ def matches(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataF
     spark = docs.sparkSession
     kinds = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kinds}, item_id long, first_word long, n_words long, hamming int, similarity double"
-    rows = docs.select("doc_id", text_bytes())
+    rows = docs.select("doc_id", text_string())
     out = None
     for block in blocks(items, most):
         sent = _Sent(spark.sparkContext.broadcast(block))
 
         def run(batches, sent=sent):
-            index, hasher = _index(sent), Hasher()
+            index = _index(sent)
             for b in batches:
-                found = [(i, *m) for i, t in enumerate(b.column(1).to_pylist()) for m in index.find(hasher.words(t))]
+                found = index.find_all(b.column(1))
                 at, k, first, n, far, near = zip(*found, strict=True) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(at, pa.int64())), pa.array([index.ids[x] for x in k], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(far, pa.int32()), pa.array(near, pa.float64())],
@@ -235,11 +245,12 @@ def clean(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFra
         sent = _Sent(spark.sparkContext.broadcast(block))
 
         def run(batches, sent=sent):
-            index, hasher = _index(sent), Hasher()
+            index = _index(sent)
             for b in batches:
-                clear = [not index.find(hasher.words(t)) for t in b.column(b.num_columns - 1).to_pylist()]
+                clear = np.ones(b.num_rows, bool)
+                clear[np.array([k for k, *_ in index.find_all(b.column(b.num_columns - 1))], np.int64)] = False
                 yield b.select(range(b.num_columns - 1)).filter(pa.array(clear, pa.bool_()))
 
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        docs = map_arrow(docs.select("*", text_bytes().alias("__bytes")), run, shape)
+        docs = map_arrow(docs.select("*", text_string().alias("__text")), run, shape)
     return docs
