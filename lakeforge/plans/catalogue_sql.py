@@ -18,7 +18,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "kleene_logic": ("SELECT c_custkey, xor(c_acctbal > 0, c_nationkey > 10) AS x, nullIf(c_nationkey, 3) = 3 OR c_acctbal > 0 AS y FROM customer", "SELECT c_custkey, (c_acctbal > 0) <> (c_nationkey > 10) AS x, nullif(c_nationkey, 3) = 3 OR c_acctbal > 0 AS y FROM customer"),
     "is_null": ("SELECT count() AS n FROM (SELECT nullIf(n_regionkey, 2) AS k FROM nation) AS t WHERE k IS NULL OR isNotNull(k) AND k > 3", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 2) AS k FROM nation) AS t WHERE k IS NULL OR k IS NOT NULL AND k > 3"),
     "in_and_between": ("SELECT n_name FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey NOT IN (2, 3) OR n_nationkey BETWEEN 20 AND 22 OR n_nationkey NOT BETWEEN 1 AND 24", None),
-    "like_ilike": ("SELECT p_partkey FROM part WHERE p_name LIKE '%1%' AND p_name NOT LIKE '%9' AND p_type ILIKE '%S%'", None),
+    "like_ilike": ("SELECT p_partkey FROM part WHERE p_name LIKE '%in%' AND p_name NOT LIKE 'z%' AND p_type ILIKE '%small%'", None),
     "case_forms": ("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders", None),
     "casts": ("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS Int32) AS q, l_extendedprice::Decimal(18,2) AS p, CAST(l_shipdate AS Date) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INT) AS q, l_extendedprice::DECIMAL(18,2) AS p, CAST(l_shipdate AS DATE) AS d FROM lineitem"),
     "arithmetic": (
