@@ -24,6 +24,7 @@ Repeated documents are looked at one by one; a null doc_id or item_id is carried
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -178,26 +179,22 @@ class Index:
         return [(k, *m) for k in np.flatnonzero(found).tolist() for m in self.find(h[ends[k] : ends[k + 1]])]
 
 
-_indexes: dict[int, Index] = {}
+_indexes: dict[str, Index] = {}
 
 
 def _index(sent) -> Index:
     """One index a Python worker and block."""
-    if sent.jid not in _indexes:
+    if sent.name not in _indexes:
         _indexes.clear()
-        _indexes[sent.jid] = Index(sent.value)
-    return _indexes[sent.jid]
+        _indexes[sent.name] = Index(sent.broadcast.value)
+    return _indexes[sent.name]
 
 
 class _Sent:
-    """A broadcast block of items, known on executors by a number."""
+    """A broadcast block of items, known on executors by a name of its own."""
 
     def __init__(self, broadcast):
-        self.broadcast, self.jid = broadcast, broadcast.id if hasattr(broadcast, "id") else id(broadcast)
-
-    @property
-    def value(self):
-        return self.broadcast.value
+        self.broadcast, self.name = broadcast, uuid.uuid4().hex
 
 
 def blocks(items: DataFrame, most: int = BLOCK_BYTES):
