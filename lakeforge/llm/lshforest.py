@@ -39,8 +39,8 @@ from .common import SHINGLE, Workspace, batch_words, map_arrow, mix64, text_stri
 
 PERCENT = 75
 TREES, DEPTH, DEEP = 28, 4, 4
-WIDE = 16
-ALIKE, BLOCK = 62, 1024
+WIDE = 8
+ALIKE, BLOCK, SHOWN = 62, 1024, 3
 
 _FACTORS = mix64(np.arange(SHINGLE), 3) | np.uint64(1)
 _A = mix64(np.arange(TREES * DEPTH), 5) | np.uint64(1)
@@ -257,13 +257,17 @@ class Forest:
         met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
         return map_arrow(met, run, "a binary, b binary")
 
-    def confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Those of the pairs that their full sets link, with their other columns."""
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    def sets_of(self, ids: DataFrame, label: str) -> DataFrame:
+        """(cid, hashes) of the classes in ``ids`` (cid), made anew from their first documents' texts."""
         reps = self.classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("_rep")).distinct()
         texts = self.docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(reps, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
         # Rows that share a doc_id may differ in text: only sets that are asked for stay, each once.
-        sets = self.ws.write(_texts_of(texts).join(ids, "cid", "left_semi").dropDuplicates(["cid"]), f"sets-{label}")
+        return self.ws.write(_texts_of(texts).join(ids, "cid", "left_semi").dropDuplicates(["cid"]), f"sets-{label}")
+
+    def confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Those of the pairs that their full sets link, with their other columns."""
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        sets = self.sets_of(ids, label)
         left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("_x"))
         right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("_y"))
         met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -304,36 +308,64 @@ class Forest:
         return roots
 
     def wide(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """(a, b, ra, rb): alike pairs between components in wide regions, one of them outside the region's largest component."""
+        """(a, b, ra, rb): pairs in wide regions that join components, one class outside the region's largest component.
+
+        Blocks are compared by sketches, then by sets of 32-bit hashes; up to SHOWN pairs that seem linked are given
+        for two components and a block, since one link joins them. The full sets have the last word.
+        """
         ws = self.ws
         named = ws.write(self.labelled(members.distinct(), roots, "cid", "root"), "members")
         sizes = named.groupBy("region", "root").agg(F.count("*").alias("_size"))
         regions = sizes.groupBy("region").agg(F.max_by("root", F.struct("_size", "root")).alias("_main"), F.sum("_size").alias("_all"), F.max("_size").alias("_most"))
-        mixed = regions.where("_most < _all").withColumn("_out", F.col("_all") - F.col("_most"))
+        mixed = regions.where("_most < _all").withColumn("_out", F.col("_all") - F.col("_most")).drop("_most")
+        named = ws.write(named.join(mixed.hint("merge"), "region"), "mixed")
+        ids = named.select("cid").distinct()
         sketches = ws.spark.read.schema("cid binary, sketch binary").parquet(f"{ws.path}/sketches")
-        rows = named.join(mixed.hint("merge"), "region").join(sketches.hint("merge"), "cid")
-        # A block of the region's classes meets a block of those outside its largest component.
-        inside = rows.select("region", "cid", "root", "n", "sketch", F.expr(f"cast(pmod(xxhash64(cid), ceil(_all / {BLOCK})) as int) as i"), F.explode(F.expr(f"sequence(0, cast(ceil(_out / {BLOCK}) as int) - 1)")).alias("j"), F.lit(False).alias("asks"))
-        outside = rows.where("root <> _main").select("region", "cid", "root", "n", "sketch", F.explode(F.expr(f"sequence(0, cast(ceil(_all / {BLOCK}) as int) - 1)")).alias("i"), F.expr(f"cast(pmod(xxhash64(cid), ceil(_out / {BLOCK})) as int) as j"), F.lit(True).alias("asks"))
-
-        def compare(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks()
-            asks = t.column("asks").to_numpy()
-            cid, root, n = np.array(t.column("cid").to_pylist(), object), np.array(t.column("root").to_pylist(), object), t.column("n").to_numpy()
-            m = _matrix(t.column("sketch").combine_chunks())
-            q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
-            out = [[], [], [], []]
-            for i in q.tolist():
-                near = (100 * np.minimum(n[x], n[i]) >= PERCENT * np.maximum(n[x], n[i])) & (root[x] != root[i])
-                y = x[near]
-                for k in y[(m[y] == m[i]).sum(axis=1) >= ALIKE].tolist():
-                    lo, hi = (i, k) if cid[i] < cid[k] else (k, i)
-                    for column, v in zip(out, (cid[lo], cid[hi], root[lo], root[hi]), strict=True):
-                        column.append(v)
-            return pa.table([pa.array(c, pa.binary()) for c in out], names=["a", "b", "ra", "rb"])
 
+        def short(batches):
+            for b in batches:
+                sets = [np.unique(np.array(x, np.int64).astype(np.uint32)).tobytes() for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["cid", "hashes"])
+
+        sets = map_arrow(self.sets_of(ids, "mixed"), short, "cid binary, hashes binary")
+        rows = named.join(sketches.hint("merge"), "cid").join(sets.hint("merge"), "cid")
+        # A block of the region's classes meets a block of those outside its largest component.
+        part = lambda total: f"cast(pmod(xxhash64(cid), ceil({total} / {BLOCK})) as int)"
+        every = lambda total: F.explode(F.expr(f"sequence(0, cast(ceil({total} / {BLOCK}) as int) - 1)"))
+        columns = ("region", "cid", "root", "n", "sketch", "hashes")
+        inside = rows.select(*columns, F.expr(part("_all")).alias("i"), every("_out").alias("j"), F.lit(False).alias("asks"))
+        outside = rows.where("root <> _main").select(*columns, every("_all").alias("i"), F.expr(part("_out")).alias("j"), F.lit(True).alias("asks"))
         blocks = inside.unionByName(outside).groupBy("region", "i", "j")
-        return blocks.applyInArrow(compare, "a binary, b binary, ra binary, rb binary").distinct()
+        return blocks.applyInArrow(_compare, "a binary, b binary, ra binary, rb binary").distinct()
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    t = t.combine_chunks()
+    asks = t.column("asks").to_numpy()
+    cid, root, n = np.array(t.column("cid").to_pylist(), object), np.array(t.column("root").to_pylist(), object), t.column("n").to_numpy()
+    m, raw = _matrix(t.column("sketch").combine_chunks()), t.column("hashes").to_pylist()
+    x = np.flatnonzero(~asks)
+    out: tuple[list, ...] = ([], [], [], [])
+    shown: dict[tuple, int] = {}
+    for i in np.flatnonzero(asks).tolist():
+        near = (100 * np.minimum(n[x], n[i]) >= PERCENT * np.maximum(n[x], n[i])) & (root[x] != root[i])
+        y = x[near]
+        mine = None
+        for k in y[(m[y] == m[i]).sum(axis=1) >= ALIKE].tolist():
+            pair = tuple(sorted((root[i], root[k])))
+            if shown.get(pair, 0) >= SHOWN:
+                continue
+            if mine is None:
+                mine = np.frombuffer(raw[i], np.uint32)
+            other = np.frombuffer(raw[k], np.uint32)
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * both < PERCENT * (len(mine) + len(other) - both):
+                continue
+            shown[pair] = shown.get(pair, 0) + 1
+            lo, hi = (i, k) if cid[i] < cid[k] else (k, i)
+            for column, v in zip(out, (cid[lo], cid[hi], root[lo], root[hi]), strict=True):
+                column.append(v)
+    return pa.table([pa.array(c, pa.binary()) for c in out], names=["a", "b", "ra", "rb"])
 
 
 def cluster(docs: DataFrame, ws: Workspace) -> DataFrame:
