@@ -83,16 +83,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (16 bytes that stand for the set; null if it is empty), signature."""
+    """doc_id, n_shingles, cid (16 bytes that stand for the set; null if it is empty), signature, version (a hash of the text)."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1))
             cid = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
             sig = [signature(h).tobytes() if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cid", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary()), b.column(2)], ["doc_id", "n_shingles", "cid", "signature", "version"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_string()), run, "doc_id long, n_shingles long, cid binary, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_string(), F.xxhash64("text")), run, "doc_id long, n_shingles long, cid binary, signature binary, version long")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -369,20 +369,23 @@ def _compare(t: pa.Table) -> pa.Table:
 
 
 def cluster(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, cid and version (a hash of the text) for each row of ``docs``."""
     forest = Forest(docs, ws)
     named = forest.labelled(forest.classes.select("cid", "rep"), forest.roots(), "cid", "root")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = ws.write(named.join(least, "root").select("cid", "component_id"), "labels")
-    rows = forest.sets.select("doc_id", "n_shingles", "cid").join(labels.hint("merge"), "cid", "left")
+    rows = forest.sets.select("doc_id", "n_shingles", "cid", "version").join(labels.hint("merge"), "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "cid")
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "cid", "version")
 
 
 def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The documents that are the first of their component, in the columns of ``docs``; a document that comes in several equal rows comes once."""
-    firsts = cluster(docs, ws).where("kept and cid is not null").select(F.col("doc_id").alias("_first")).distinct()
-    empty = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]") == F.lit(False)
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))
-    kept = docs.where(~empty).join(firsts, met, "left_semi").dropDuplicates(["doc_id"])
-    return docs.where(empty).union(kept).select(*docs.columns)
+    """The documents that are the first of their component, and all texts without words, in the columns of ``docs``.
+
+    Equal rows of a document that stays become one. Documents without an id that resemble only each other all stay.
+    """
+    firsts = cluster(docs, ws).where("kept and cid is not null").select(F.col("doc_id").alias("_first"), F.col("version").alias("_version")).distinct()
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_version"))
+    kept = docs.where(~wordless).withColumn("_own", F.xxhash64("text")).join(firsts.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", "_own"])
+    return docs.where(wordless).union(kept.select(*docs.columns))

@@ -64,6 +64,7 @@ def test_near_duplicates_match_brute_force(spark, sf, odd_docs, no_docs):
     assert got_components(lshforest.cluster(odd_docs, Workspace(spark, "t")).collect()) == slow_components([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert lshforest.cluster(no_docs, Workspace(spark, "t")).count() == 0
     kept = lshforest.dedup(odd_docs, Workspace(spark, "t"))
+    assert kept.where("doc_id is null").count() == 1  # the other null id resembles document 2
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.where("doc_id in (2, 9, 10)").collect()) == [2, 9]
 
 
