@@ -90,6 +90,11 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT doc_id, length(text) AS b, lengthUTF8(text) AS c, lower(substring(text, 1, 20)) AS lo, upper(substring(text, -20)) AS up, substring(text, 3, -5) AS cut, lowerUTF8(substring(text, 1, 9)) AS lu, reverse(substring(text, 1, 5)) AS rv, position(text, 'e') AS p, startsWith(text, 'T') AS st, endsWith(text, '.') AS en, splitByChar(' ', text) AS first, replaceAll(substring(text, 1, 30), 'e', 'E') AS re, repeat(lang, 3) AS rp, leftPad(lang, 5, '*') AS lp, rightPad(lang, 1) AS rr, concat(lang, '-', source) AS cc, trim(concat('  ', lang, ' ')) AS tr FROM documents",
         "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS b, length(text) AS c, translate(substring(text, 1, 20), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lo, translate(right(text, 20), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, substring(text, 3, greatest(length(text) - 7, 0)) AS cut, lower(substring(text, 1, 9)) AS lu, reverse(substring(text, 1, 5)) AS rv, CAST(instr(text, 'e') AS BIGINT) AS p, starts_with(text, 'T') AS st, ends_with(text, '.') AS en, split_part(text, ' ', 1) AS first, replace(substring(text, 1, 30), 'e', 'E') AS re, repeat(lang, 3) AS rp, lpad(lang, 5, '*') AS lp, substring(lang, 1, 1) AS rr, concat(lang, '-', source) AS cc, lang AS tr FROM documents",
     ),
+    "string_aliases": (
+        "SELECT doc_id, substr(text, 2, 5) AS a, mid(text, -4, 2) AS b, ltrim(concat('  ', lang)) AS c, trimRight(concat(lang, '  ')) AS d, lcase(substringUTF8(text, 0, 6)) AS e, ucase(lang) AS f, char_length(source) AS g, replace(lang, 'e', '') AS h, leftPad(lang, 1) AS i, upperUTF8(lang) AS j, positionUTF8(text, 'zzzz') AS k FROM documents",
+        "SELECT doc_id, substring(text, 2, 5) AS a, substring(text, -4, 2) AS b, lang AS c, lang AS d, translate(substring(text, 1, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS e, upper(lang) AS f, length(source) AS g, replace(lang, 'e', '') AS h, substring(lang, 1, 1) AS i, upper(lang) AS j, CAST(instr(text, 'zzzz') AS BIGINT) AS k FROM documents",
+    ),
+    "window_moving_average": ("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS a, varPop(event_id) OVER (PARTITION BY user_id) >= 0 AS v, argMax(event_type, event_id) OVER (PARTITION BY user_id) AS m FROM events", "SELECT event_id, round_even(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS a, true AS v, arg_max(event_type, event_id) OVER (PARTITION BY user_id) AS m FROM events"),
     "like_functions": ("SELECT p_partkey, like(p_name, '%a%') AS a, notLike(p_name, '%a%') AS b, ilike(p_name, '%A%') AS c, notILike(p_name, '%A%') AS d FROM part", "SELECT p_partkey, p_name LIKE '%a%' AS a, p_name NOT LIKE '%a%' AS b, p_name ILIKE '%A%' AS c, p_name NOT ILIKE '%A%' AS d FROM part"),
     "conversions": (
         "SELECT p_partkey, toString(p_size) AS s, toInt32(p_retailprice) AS i, toInt64('42') AS j, toInt64('3.9') AS k, toInt64(p_name) AS bad, toFloat64('2.5') AS f, toUInt32(p_size - 60) AS w, toDate('2024-02-29') AS d, toDate(p_size) AS dn, toDateTime('2024-02-29 12:30:00') AS t, toString(toFloat64(p_size)) AS fs FROM part",

@@ -93,6 +93,18 @@ def test_transactions(db):
     db.sql("ROLLBACK")
 
 
+def test_library_calls(db):
+    assert db.execute("DELETE FROM events WHERE id = 6") == 1
+    with pytest.raises(DialectError, match="no rows"):
+        db.execute("SELECT 1")
+    reader = db.reader()
+    db.sql("TRUNCATE TABLE events")
+    assert [r.id for r in reader.cursor("SELECT id FROM events ORDER BY id LIMIT 2")] == [1, 2]
+    assert rows(db.sql("SELECT id FROM events")) == []
+    with pytest.raises(DialectError, match="read-only"):
+        reader.sql("DELETE FROM events")
+
+
 def test_views_and_looking_around(db):
     db.sql("CREATE VIEW slow AS SELECT id, country FROM events WHERE latency > 100")
     assert rows(db.sql("SELECT s.id FROM slow AS s JOIN geo AS g ON s.country = g.country")) == [(Decimal(3),), (Decimal(5),)]
