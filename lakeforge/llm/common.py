@@ -22,8 +22,10 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Near-duplicate operators work on this many words per shingle.
 SHINGLE = 5
 
-#: Texts are handed to Python in batches of at most this many rows.
-BATCH_ROWS = 1000
+#: Texts are handled in Python in batches of at most this many rows, and sent there in batches of
+#: at most SENT_ROWS, so that what lies in Arrow's buffers on both sides stays small.
+BATCH_ROWS, SENT_ROWS = 1000, 4000
+_SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,12 +106,16 @@ def text_bytes(name: str = "text") -> Column:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow whose function sees batches of at most ``rows`` rows."""
 
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_SENT, "10000")) <= SENT_ROWS:
+        spark.conf.set(_SENT, SENT_ROWS)
 
     def sliced(batches):
         for b in batches:
             for at in range(0, max(b.num_rows, 1), rows):
                 yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(lambda batches: f(sliced(batches)), schema)
 
