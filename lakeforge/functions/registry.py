@@ -455,6 +455,11 @@ def _group_array(a, p, d):
     return Sql(f"CASE WHEN size({items}) > 0 THEN array_join({items}, ',') END", STR)
 
 
+def _sketched(x: Sql) -> str:
+    """Sketches take integers and strings."""
+    return x.text if x.kind.family == "str" else f"CAST({x.text} AS STRING)"
+
+
 def _same(name: str, extra: str = "") -> Callable:
     return lambda a, p, d: Sql(f"{name}({a[0].text}{extra})", a[0].kind)
 
@@ -473,7 +478,7 @@ AGGREGATE: dict[str, Aggregate] = {
     "anylast": Aggregate(1, 1, _same("last", ", true")),
     "argmin": Aggregate(2, 2, lambda a, p, d: Sql(f"min_by({a[0].text}, {a[1].text})", a[0].kind)),
     "argmax": Aggregate(2, 2, lambda a, p, d: Sql(f"max_by({a[0].text}, {a[1].text})", a[0].kind)),
-    "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"approx_count_distinct({a[0].text}, 0.008)", INT)),
+    "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"coalesce(hll_sketch_estimate(hll_sketch_agg({_sketched(a[0])}, 14)), 0)", INT)),
     "uniqexact": Aggregate(1, 1, lambda a, p, d: Sql(f"count(DISTINCT {a[0].text})", INT)),
     "grouparray": Aggregate(1, 1, _group_array, parameters=1),
     "quantile": Aggregate(1, 1, _quantile, parameters=1),

@@ -58,6 +58,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "argmin_argmax": ("SELECT c_nationkey, argMin(c_custkey, c_custkey * 7 % 1501) AS lo, argMax(c_name, c_custkey) AS hi FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, arg_min(c_custkey, c_custkey * 7 % 1501) AS lo, arg_max(c_name, c_custkey) AS hi FROM customer GROUP BY c_nationkey"),
     "any_of_constant_groups": ("SELECT r_regionkey, any(r_name) AS a, anyLast(r_name) AS b FROM region GROUP BY r_regionkey", "SELECT r_regionkey, any_value(r_name) AS a, last(r_name) AS b FROM region GROUP BY r_regionkey"),
     "uniq_within_error": ("SELECT abs(uniq(user_id) - uniqExact(user_id)) <= 0.03 * uniqExact(user_id) AS close FROM events", "SELECT true AS close"),
+    "uniq_empty_and_windowed": ("SELECT r_name, uniq(r_name) OVER (PARTITION BY r_regionkey) AS one, (SELECT uniq(r_name) FROM region WHERE r_regionkey > 99) AS none, (SELECT uniqIf(r_name, r_regionkey > 2) FROM region) AS two FROM region", "SELECT r_name, 1 AS one, 0 AS none, 2 AS two FROM region"),
     "group_array": ("SELECT r_regionkey, groupArray(r_name) AS names, groupArray(1)(r_name) AS one FROM region GROUP BY r_regionkey", "SELECT r_regionkey, string_agg(r_name, ',') AS names, string_agg(r_name, ',') AS one FROM region GROUP BY r_regionkey"),
     "quantiles": ("SELECT l_returnflag, quantile(0.9)(l_extendedprice) AS q9, quantile(l_extendedprice) AS q5, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS q9, quantile_cont(l_extendedprice, 0.5) AS q5, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag"),
     "quantile_exact": ("SELECT p_brand, quantileExact(0.95)(p_size) AS q95, quantileExact(p_size) AS q50 FROM part GROUP BY p_brand", "SELECT p_brand, CAST(list_sort(list(p_size))[least(CAST(floor(0.95 * count(*)) AS INT), count(*) - 1) + 1] AS DOUBLE) AS q95, CAST(list_sort(list(p_size))[least(CAST(floor(0.5 * count(*)) AS INT), count(*) - 1) + 1] AS DOUBLE) AS q50 FROM part GROUP BY p_brand"),
