@@ -98,14 +98,19 @@ class Index:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         self.lengths = {n: np.unique(np.concatenate(x)) for n, x in sorted(by_length.items())}
-        # Quick test of whether any item has a shingle: 16 times as many flags as shingles, so one in 16 of the others pass.
+        # Whether any item has a shingle: flags tell most others apart (64 flags a shingle, 16 MB at most), the list the rest.
         long = [x for n, x in self.lengths.items() if n >= SHINGLE]
-        every = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
-        self.mask = np.uint64((1 << max(10, int(16 * len(every)).bit_length())) - 1)
+        self.every = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
+        self.mask = np.uint64((1 << min(24, max(10, int(64 * len(self.every)).bit_length()))) - 1)
         self.flags = np.zeros(int(self.mask) + 1, bool)
-        self.flags[every & self.mask] = True
+        self.flags[self.every & self.mask] = True
         self.least = min((-(-2 * PERCENT * (n - SHINGLE + 1) // (100 + PERCENT)) for n in self.lengths if n >= SHINGLE), default=1 << 62)
 
+    def known(self, shingles: np.ndarray) -> np.ndarray:
+        """The places of the shingles that some item has."""
+        at = np.flatnonzero(self.flags[shingles & self.mask])
+        return at[np.isin(shingles[at], self.every)]
+
     @staticmethod
     def _key(n: int, block: int, value: int) -> int:
         return (n * BLOCKS + block) << 8 | value
@@ -121,7 +126,7 @@ class Index:
         """(item, first word, words, Hamming distance, similarity) of the best window of each item found, in the words' hashes."""
         best: dict[int, tuple] = {}
         s5 = runs(h, SHINGLE)
-        hot = np.flatnonzero(self.flags[s5 & self.mask])
+        hot = self.known(s5)
         for n, known in self.lengths.items():
             if n > len(h):
                 break
@@ -164,18 +169,17 @@ class Index:
         h = hashes(words.cast(pa.large_binary()).to_pylist())[place]
         text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
 
-        def own(width: int, hit: np.ndarray) -> np.ndarray:
-            """The texts of the hits whose words are all of one text."""
-            at = np.flatnonzero(hit)
+        def own(width: int, at: np.ndarray) -> np.ndarray:
+            """The texts of the places whose words are all of one text."""
             return text[at[text[at] == text[at + width - 1]]]
 
         found = np.zeros(len(ends) - 1, bool)
         if len(h) >= SHINGLE:
-            near = own(SHINGLE, self.flags[runs(h, SHINGLE) & self.mask])
+            near = own(SHINGLE, self.known(runs(h, SHINGLE)))
             found |= np.bincount(near, minlength=len(found)) >= self.least
         for n, known in self.lengths.items():
             if n < SHINGLE and len(h) >= n:
-                found[own(n, np.isin(runs(h, n), known))] = True
+                found[own(n, np.flatnonzero(np.isin(runs(h, n), known)))] = True
         return [(k, *m) for k in np.flatnonzero(found).tolist() for m in self.find(h[ends[k] : ends[k + 1]])]
 
 
