@@ -103,8 +103,26 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow whose function sees batches of at most ``rows`` rows."""
+#: What a Python worker keeps between tasks, by owner and name.
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def keep(owner: str, name: str, make: Callable[[], object]):
+    """``make``'s result, kept in this worker for the owner's later tasks; an owner keeps one thing at a time."""
+    if (owner, name) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner, name] = make()
+    return _KEPT[owner, name]
+
+
+def release_others(owner: str) -> None:
+    """Let go of what other owners' tasks kept in this worker."""
+    for key in [k for k in _KEPT if k[0] != owner]:
+        del _KEPT[key]
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, owner: str = "") -> DataFrame:
+    """mapInArrow whose function sees batches of at most ``rows`` rows; workers keep only what ``owner`` keeps."""
 
     spark = df.sparkSession
     ship(spark)
@@ -112,6 +130,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         spark.conf.set(_SENT, SENT_ROWS)
 
     def sliced(batches):
+        release_others(owner)
         for b in batches:
             for at in range(0, max(b.num_rows, 1), rows):
                 yield b.slice(at, rows)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, batch_words, map_arrow, mix64, text_bytes, text_string
+from .common import SHINGLE, batch_words, keep, map_arrow, mix64, text_bytes, text_string
 
 PERCENT = 75
 BITS, BLOCKS = 128, 16
@@ -183,15 +183,9 @@ class Index:
         return [(k, *m) for k in np.flatnonzero(found).tolist() for m in self.find(h[ends[k] : ends[k + 1]])]
 
 
-_indexes: dict[str, Index] = {}
-
-
 def _index(sent) -> Index:
-    """One index a Python worker and block."""
-    if sent.name not in _indexes:
-        _indexes.clear()
-        _indexes[sent.name] = Index(sent.broadcast.value)
-    return _indexes[sent.name]
+    """One index a Python worker and block, as long as its tasks are of this operator."""
+    return keep("decontam", sent.name, lambda: Index(sent.broadcast.value))
 
 
 class _Sent:
@@ -234,7 +228,7 @@ def matches(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataF
                     ["doc_id", "item_id", "first_word", "n_words", "hamming", "similarity"],
                 )
 
-        part = map_arrow(rows, run, shape)
+        part = map_arrow(rows, run, shape, owner="decontam")
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], shape)
 
@@ -253,5 +247,5 @@ def clean(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFra
                 yield b.select(range(b.num_columns - 1)).filter(pa.array(clear, pa.bool_()))
 
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        docs = map_arrow(docs.select("*", text_string().alias("__text")), run, shape)
+        docs = map_arrow(docs.select("*", text_string().alias("__text")), run, shape, owner="decontam")
     return docs

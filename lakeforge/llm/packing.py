@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_words, map_arrow, mix64, text_string
+from .common import Workspace, batch_words, keep, map_arrow, mix64, text_string
 
 LENGTH = 2048
 END = 1
@@ -118,14 +118,14 @@ class Encoder:
         return self.batch(pa.array([text.decode()]))[0].tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, as long as its tasks are of this operator."""
+    return keep("packing", path, lambda: Encoder(path))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def id_kind(path: str) -> np.dtype:
+    """Two bytes an id if the vocabulary allows; the tokenizer isn't kept."""
+    return Encoder(path).kind
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
             place = hilbert(project.cells(vectors), BITS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.int64()), b.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "place", "tie", "ids"])
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), text_string()), run, f"doc_id {kind}, place long, tie long, ids binary", rows=4000)
+    return map_arrow(docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), text_string()), run, f"doc_id {kind}, place long, tie long, ids binary", rows=4000, owner="packing")
 
 
 def _pieces(kind: np.dtype, length: int):
@@ -257,4 +257,4 @@ def pack(docs: DataFrame, ws: Workspace, *, tokenizer: str | None = None, length
     order = ["place", "tie", "doc_id", F.crc32("ids")]
     curve = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(curve, _pieces(encoder(path).kind, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(curve, _pieces(id_kind(path), length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
