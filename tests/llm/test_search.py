@@ -330,3 +330,12 @@ def test_pii_surrogates(spark, sf, odd_docs, no_docs):
     kept = pii.replace(odd_docs, Workspace(spark, "t"))
     assert kept.count() == odd_docs.count() and set(kept.columns) == {*odd_docs.columns, "pii"}
     assert pii.digest(no_docs, Workspace(spark, "t")).count() == 0
+
+
+def test_language_model_learns_whole_contexts(spark):
+    """Words after two contexts with the same ending are told apart."""
+    rows = [(i, "red xbat moon green ybat sun " * 5) for i in range(40)] + [(1000 + i, "xbat moon ybat sun") for i in range(40)] + [(2000 + i, "xbat sun ybat moon") for i in range(40)]
+    train = [r for r in rows if r[0] < 1000 or zlib.crc32(str(r[0]).encode()) % 7 == 2]
+    got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(train, "doc_id long, text string"), Workspace(spark, "t")).collect() if r.doc_id >= 1000}
+    right, wrong = ([s for i, s in got.items() if (i < 2000) == x] for x in (True, False))
+    assert right and wrong and min(right) > max(wrong) + 2
