@@ -7,6 +7,10 @@ nothing, moving them costs one a byte. Each old shard is then cut along its orde
 one run for each new shard. Whole blocks are handed over as they are; only the blocks through
 which a cut passes are split, document by document, and need rewriting (``rewrite``).
 
+``transfer`` does it on files: it writes the old layout (a folder a block), rewrites the cut blocks below
+the new shards, and commits a manifest that names the owner and folder of each block; only then are the old
+copies of cut blocks deleted. ``read`` takes sizes, checksums, shards and slots from the files the manifest lists.
+
 Cuts miss by up to half a document each; ``_evened`` then moves a few single documents to even that out.
 
 What reaches the driver is one row a block (OLD_SHARDS * BLOCKS rows, however large the input).
@@ -18,8 +22,11 @@ Repeated rows are placed one by one and may lie side by side. Extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .common import Workspace
 
 OLD_SHARDS = 6
 NEW_SHARDS = 8
@@ -115,8 +122,8 @@ def plan(sizes: list[tuple[int, int, int]], new_shards: int) -> list[tuple]:
     return out
 
 
-def _evened(placed: DataFrame, new_shards: int) -> DataFrame:
-    """Even out what the cuts missed: a few single documents change shards.
+def _moves(placed: DataFrame, new_shards: int) -> list[tuple]:
+    """(doc_id, text_crc32, size, new shard) of a few single documents that even out what the cuts missed.
 
     They are chosen on the driver from documents thinned by a hash to about CANDIDATES, and only where no
     other row is equal to them.
@@ -124,7 +131,7 @@ def _evened(placed: DataFrame, new_shards: int) -> DataFrame:
     totals = {r.shard: (r.n, r.bytes) for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
     rows, size = sum(n for n, _ in totals.values()), sum(b for _, b in totals.values())
     if not rows:
-        return placed
+        return []
     off = {j: totals.get(j, (0, 0))[1] - size / new_shards for j in range(new_shards)}
     key = ["doc_id", "text_crc32", "size"]
     thin = F.pmod(F.xxhash64(*key), F.lit(max(1, rows // CANDIDATES))) == 0
@@ -142,41 +149,58 @@ def _evened(placed: DataFrame, new_shards: int) -> DataFrame:
         free[over].remove(best)
         off[over], off[under] = off[over] - best[0], off[under] + best[0]
         moves.append((best[1], best[2], best[0], under))
+    return moves
+
+
+def _evened(placed: DataFrame, moves: list[tuple]) -> DataFrame:
+    """The documents of ``moves`` change shards."""
     if not moves:
         return placed
+    key = ["doc_id", "text_crc32", "size"]
     kind = placed.schema["doc_id"].dataType.simpleString()
     to = placed.sparkSession.createDataFrame(moves, f"doc_id {kind}, text_crc32 long, size long, _to int")
     return placed.join(F.broadcast(to), key, "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
 
 
-def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, *, whole: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block, shard, slot, moved; with ``whole`` also ``row``, all columns of the document."""
-    spark = docs.sparkSession
-    laid = old_layout(docs, old_shards, blocks, whole=whole)
-    row = ["row"] if whole else []
+_ORDER = ["doc_id", "text_crc32", "size"]
+
+
+def _cuts(laid: DataFrame, new_shards: int) -> DataFrame:
+    """``plan``'s rows, one a block."""
     sizes = [(r.old_shard, r.block, r.bytes) for r in laid.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()]
-    shape = "old_shard int, block int, at long, cuts array<struct<end: long, shard: int>>"
-    blocks_at = spark.createDataFrame(plan(sizes, new_shards), shape)  # one row a block
+    return laid.sparkSession.createDataFrame(plan(sizes, new_shards), "old_shard int, block int, at long, cuts array<struct<end: long, shard: int>>")
+
+
+def _placed(laid: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``laid`` with the new shard of each document, as the cuts say."""
     in_block = Window.partitionBy("old_shard", "block")
-    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    placed = (
-        laid.join(F.broadcast(blocks_at), ["old_shard", "block"])
-        .withColumn("_from", F.col("at") + F.sum("size").over(in_block.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    return (
+        laid.join(F.broadcast(cuts), ["old_shard", "block"])
+        .withColumn("_from", F.col("at") + F.sum("size").over(in_block.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         # A document goes where its middle byte lies, so a cut is missed by half a document at most.
         .withColumn("shard", F.expr("coalesce(element_at(filter(cuts, c -> 2 * c.end > 2 * _from + size), 1).shard, element_at(cuts, -1).shard)"))
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", *row)
+        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", *(["row"] if "row" in laid.columns else []))
     )
-    placed = _evened(placed, new_shards)
-    # Slots: by block within the shard, then by document within the block.
+
+
+def _slotted(placed: DataFrame) -> DataFrame:
+    """With slot and moved. Slots: by block within the shard, then by document within the block."""
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "old_shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")).alias("_before"))
     return (
         placed.join(F.broadcast(starts), ["shard", "old_shard", "block"])  # a few rows a block: its shards, and those of documents that were evened out
-        .withColumn("slot", F.col("_before") + F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy(*order)) - 1)
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"), *row)
+        .withColumn("slot", F.col("_before") + F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy(*_ORDER)) - 1)
+        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"), *(["row"] if "row" in placed.columns else []))
     )
 
 
+def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, *, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, block, shard, slot, moved; with ``whole`` also ``row``, all columns of the document."""
+    laid = old_layout(docs, old_shards, blocks, whole=whole)
+    placed = _placed(laid, _cuts(laid, new_shards))
+    return _slotted(_evened(placed, _moves(placed, new_shards)))
+
+
 def affected(assigned: DataFrame) -> DataFrame:
     """(old_shard, block, shard) of the block files; ``rewrite`` is true for those that a cut splits, others change owner as they are."""
     parts = assigned.groupBy("old_shard", "block").agg(F.countDistinct("shard").alias("n"), F.min("shard").alias("shard"))
@@ -193,3 +217,47 @@ def rewrite(docs: DataFrame, path: str, **layout) -> DataFrame:
     split = files.where("rewrite").select("old_shard", "block")
     assigned.join(F.broadcast(split), ["old_shard", "block"], "left_semi").select("shard", "row.*").write.mode("overwrite").partitionBy("shard").parquet(path)
     return files
+
+
+def _digest(files: DataFrame, *more: str) -> DataFrame:
+    """doc_id, size, text_crc32 and ``more`` of the documents in ``row``, from the text as it was read."""
+    body = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return files.select(F.col("row.doc_id").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), *more)
+
+
+def _files(spark: SparkSession, at: str, row, folders: list[str]) -> DataFrame:
+    return spark.read.schema(StructType([StructField("row", row), *(StructField(x, IntegerType()) for x in folders)])).parquet(at)
+
+
+def transfer(docs: DataFrame, ws: Workspace, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> tuple[DataFrame, StructType]:
+    """Reshard on files below ``ws``: the manifest (shard, old_shard, block, rewritten), one row a folder of the new layout, and the rows' type.
+
+    Whole blocks stay where they are and change owner; cut blocks are written anew below ``new``.
+    """
+    spark, old_at, new_at = docs.sparkSession, f"{ws.path}/old", f"{ws.path}/new"
+    laid = old_layout(docs, old_shards, blocks, whole=True)
+    row = laid.schema["row"].dataType
+    in_order = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by, *_ORDER).select(*by, "row").write.option("compression", "zstd").partitionBy(*by)
+    in_order(laid, "old_shard", "block").parquet(old_at)
+    old = _files(spark, old_at, row, ["old_shard", "block"])
+    known = ws.write(_digest(old, "old_shard", "block"), "sizes")
+    cuts = _cuts(known, new_shards)
+    placed = _placed(known, cuts)
+    moves = _moves(placed, new_shards)
+    owners = _evened(placed, moves).groupBy("old_shard", "block").agg(F.sort_array(F.collect_set("shard")).alias("shards")).collect()
+    cut = [(r.old_shard, r.block) for r in owners if len(r.shards) > 1]
+    number = F.col("old_shard").cast("long") * blocks + F.col("block")  # folders of other blocks aren't read
+    again = _evened(_placed(_digest(old.where(number.isin([o * blocks + b for o, b in cut])), "old_shard", "block", "row"), cuts), moves)
+    in_order(again, "shard", "old_shard", "block").parquet(new_at)
+    layout = [(s, r.old_shard, r.block, len(r.shards) > 1) for r in owners for s in r.shards]
+    manifest = ws.write(spark.createDataFrame(layout, "shard int, old_shard int, block int, rewritten boolean").coalesce(1), "manifest")
+    ws.drop("sizes", *(f"old/old_shard={o}/block={b}" for o, b in cut))
+    return manifest, row
+
+
+def read(spark: SparkSession, ws: Workspace, manifest: DataFrame, row: StructType, *, whole: bool = False) -> DataFrame:
+    """``reshard``'s columns, from the files of the new layout; with ``whole`` also ``row``."""
+    more = ["old_shard", "block", "shard", *(["row"] if whole else [])]
+    kept = _files(spark, f"{ws.path}/old", row, ["old_shard", "block"]).join(F.broadcast(manifest.where("not rewritten")), ["old_shard", "block"])
+    new = _files(spark, f"{ws.path}/new", row, ["shard", "old_shard", "block"]).join(F.broadcast(manifest.where("rewritten")), ["shard", "old_shard", "block"])
+    return _slotted(_digest(kept, *more).unionByName(_digest(new, *more)))

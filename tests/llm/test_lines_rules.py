@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -153,3 +154,20 @@ def test_rewrite_holds_each_row_once(spark, sf, tmp_path):
     split = {(r.old_shard, r.block) for r in files.collect() if r.rewrite}
     want = Counter((r.doc_id, r.shard) for r in resharding.reshard(docs, blocks=4).collect() if (r.old_shard, r.block) in split)
     assert Counter((r.doc_id, r.shard) for r in spark.read.parquet(f"file://{tmp_path}/new").collect()) == want
+
+
+def test_transfer_moves_the_files(spark, sf, odd_docs, no_docs):
+    """What the new shards hold is what was assigned, and the query reads it from them."""
+    for docs, blocks in ((table(spark, sf, "documents"), 8), (odd_docs, 4), (no_docs, 4)):
+        ws = Workspace(spark, "t")
+        manifest, row = resharding.transfer(docs, ws, blocks=blocks)
+        columns = ["doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", "moved"]
+        got = resharding.read(spark, ws, manifest, row, whole=True)
+        assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(tuple(r) for r in resharding.reshard(docs, blocks=blocks).select(*columns).collect())
+        assert Counter(tuple(r) for r in got.select("row.*").collect()) == Counter(tuple(r) for r in docs.collect())
+        listed = manifest.collect()
+        assert {r.shard for r in listed if r.rewritten} or not docs.count()
+        old = Path(f"{ws.path}/old".removeprefix("file://"))
+        assert all((old / f"old_shard={r.old_shard}/block={r.block}").exists() != r.rewritten for r in listed)
+    # Here blocks hold a document or none, so none is cut.
+    assert any("/old/old_shard=" in f for f in entries.op8_min_cost_resharding(spark, sf).inputFiles())
