@@ -5,7 +5,8 @@ A benchmark item of n words is looked for in every window of n words of every do
 1. Windows are compared by their shingles of SHINGLE words (A-Z in lower case). Two equally long
    windows of m shingles with weighted similarity of PERCENT / 100 or more share at least
    2p / (1 + p) * m of them, so windows with fewer shingles of items of their size are passed over;
-   that loses nothing.
+   that loses nothing. A document shorter than an item is one window as a whole, held against the same
+   bound for unequal sizes, both >= p / (1 + p) * (m + the item's shingles).
 2. The others get a SimHash of BITS bits: each bit is the sign of the sum, over the window's
    shingles as often as they occur, of that bit of the shingle's hash as +1 or -1.
 3. The items' fingerprints are indexed by BLOCKS blocks of BITS / BLOCKS bits, each under its own
@@ -104,13 +105,17 @@ class Index:
         self.mask = np.uint64((1 << min(24, max(10, int(64 * len(self.every)).bit_length()))) - 1)
         self.flags = np.zeros(int(self.mask) + 1, bool)
         self.flags[self.every & self.mask] = True
-        self.least = min((-(-2 * PERCENT * (n - SHINGLE + 1) // (100 + PERCENT)) for n in self.lengths if n >= SHINGLE), default=1 << 62)
+        self.least = min((-(-PERCENT * (n - SHINGLE + 1) // 100) for n in self.lengths if n >= SHINGLE), default=1 << 62)
 
     def known(self, shingles: np.ndarray) -> np.ndarray:
         """The places of the shingles that some item has."""
         at = np.flatnonzero(self.flags[shingles & self.mask])
         return at[np.isin(shingles[at], self.every)]
 
+    @staticmethod
+    def _shingles(n: int) -> int:
+        return max(min(n, 1), n - SHINGLE + 1)
+
     @staticmethod
     def _key(n: int, block: int, value: int) -> int:
         return (n * BLOCKS + block) << 8 | value
@@ -129,8 +134,13 @@ class Index:
         hot = self.known(s5)
         for n, known in self.lengths.items():
             if n > len(h):
-                break
-            if n < SHINGLE:
+                # The text as a whole is the window; it holds ``size`` shingles, and the item ``most``.
+                size, most = self._shingles(len(h)), self._shingles(n)
+                if not size or 100 * size < PERCENT * most:
+                    break  # longer items share even less
+                s, m = (s5, size) if len(h) >= SHINGLE else (runs(h, len(h)), 1)
+                places = np.zeros(int((100 + PERCENT) * np.isin(s, known).sum() >= PERCENT * (size + most)), np.int64)
+            elif n < SHINGLE:
                 s = runs(h, n)
                 places, m = np.flatnonzero(np.isin(s, known)), 1
             else:
@@ -156,7 +166,7 @@ class Index:
                     counts = counts or Counter(window.tolist())
                     both, union = similarity(counts, self.counts[k])
                     if 100 * both >= PERCENT * union and both / union > best.get(k, (0, 0, 0, 0, 0.0))[4]:
-                        best[k] = (k, at, n, int(np.unpackbits(fp ^ self.prints[k]).sum()), both / union)
+                        best[k] = (k, at, min(n, len(h)), int(np.unpackbits(fp ^ self.prints[k]).sum()), both / union)
         return [best[k] for k in sorted(best)]
 
 

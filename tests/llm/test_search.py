@@ -339,3 +339,21 @@ def test_language_model_learns_whole_contexts(spark):
     got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(train, "doc_id long, text string"), Workspace(spark, "t")).collect() if r.doc_id >= 1000}
     right, wrong = ([s for i, s in got.items() if (i < 2000) == x] for x in (True, False))
     assert right and wrong and min(right) > max(wrong) + 2
+
+
+def test_documents_shorter_than_an_item_are_found():
+    """A document that is an item with some words missing, against plain Python."""
+    rng = random.Random(11)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (30, 59, 15, 15, 5, 3)]
+    index = decontam.Index([(k, " ".join(w).encode()) for k, w in enumerate(words)])
+    shingle = lambda x: Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)])
+    texts = [w[:-cut] for w in words for cut in range(1, len(w))] + [w[cut:] for w in words for cut in range(1, len(w))] + [[*words[0][:14], *words[0][15:]], []]
+    got = {(t, k) for t, k, *_ in index.find_all(decontam.pa.array([" ".join(w) for w in texts]))}
+    want = set()
+    for t, text in enumerate(texts):
+        for k, item in enumerate(words):
+            a, b = shingle(text), shingle(item)
+            both = sum((a & b).values())
+            if text and 100 * both >= 75 * (sum(a.values()) + sum(b.values()) - both):
+                want.add((t, k))
+    assert got == want and (1, 0) in want
