@@ -357,3 +357,7 @@ def test_documents_shorter_than_an_item_are_found():
             if text and 100 * both >= 75 * (sum(a.values()) + sum(b.values()) - both):
                 want.add((t, k))
     assert got == want and (1, 0) in want
+
+
+def test_language_model_burns_in_before_it_samples():
+    assert hpylm.BURN >= 2 and hpylm.SAMPLES >= 3
