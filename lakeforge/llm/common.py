@@ -81,9 +81,11 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/lakeforge-{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table, written and read again; ``by`` makes a folder for each value of that column."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -233,20 +233,26 @@ def test_warc_round_trip(spark, sf, roll):
     assert warc.read(spark, *warc.write(empty, Workspace(spark, "t"))).count() == 0
 
 
+def held(i):
+    return zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+
+
+def tokens_of(t):
+    return [*words_of(t), "\n"]
+
+
 def test_language_model(spark, sf, odd_docs, no_docs):
     docs = table(spark, sf, "documents")
-    for frame, top in ((docs, 50_000), (docs, 40), (odd_docs, 10)):
-        rows = hpylm.score(frame, Workspace(spark, "t"), top=top).collect()
+    for frame in (docs, odd_docs):
+        rows = hpylm.score(frame, Workspace(spark, "t")).collect()
         counts = Counter()
-        held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
-        toks = lambda t: [*words_of(t), "\n"]
         for d in frame.collect():
             if not held(d.doc_id):
-                counts.update(toks(d.text))
+                counts.update(tokens_of(d.text))
         n, v = sum(counts.values()), len(counts)
         want = Counter()
         for d in frame.collect():
-            w = toks(d.text)
+            w = tokens_of(d.text)
             base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
             want[(d.doc_id, held(d.doc_id), len(w), sum(x in counts for x in w), n, round(base, 4))] += 1
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == want
@@ -254,39 +260,140 @@ def test_language_model(spark, sf, odd_docs, no_docs):
         if frame is docs:
             out = [r for r in rows if r.held_out]
             assert sum(r.score for r in out) > sum(r.base_score for r in out)
-            score = {r.doc_id: r.score for r in rows}
-            if top == 40:
-                assert all(abs(score[k] - kept[k]) < 1e-3 for k in score)  # where the table ends makes no difference
-            kept = score
     assert hpylm.score(no_docs, Workspace(spark, "t")).count() == 0
+    unseen = spark.createDataFrame([(i, "a b") for i in range(40) if held(i)], "doc_id long, text string")
+    assert {(r.train_tokens, r.n_known, r.base_score) for r in hpylm.score(unseen, Workspace(spark, "t")).collect()} == {(0, 0, 0.0)}
+
+
+def test_language_model_is_the_same_in_other_parts_and_batches(spark, sf):
+    docs = table(spark, sf, "documents")
+    kept = {r.doc_id: r.score for r in hpylm.score(docs, Workspace(spark, "t")).collect()}
+    again = {r.doc_id: r.score for r in hpylm.score(docs.repartition(5), Workspace(spark, "t"), parts=3, flush=700).collect()}
+    assert kept.keys() == again.keys() and all(abs(kept[k] - again[k]) < 1e-6 for k in kept)
+
+
+def word_totals(model):
+    """hash: (n, tables by sample, customers at the root by sample); (u, w): (c, tables by sample)."""
+    k, words, pairs = len(model.rates), {}, {}
+    rows = {name: sorted(frame.collect(), key=lambda r: (r.dest, r.frm)) for name, frame in (("shard", model.shards), ("state", model.state), ("totals", model.totals))}
+    for r in rows["shard"]:
+        h, u, w, c = hpylm._shard(bytes(r.blob))
+        state = hpylm._State.of(next(bytes(x.blob) for x in rows["state"] if x.dest == r.dest))
+        n, *more = hpylm._gather([bytes(x.blob) for x in rows["totals"] if x.dest == r.dest])
+        for i, x in enumerate(h.tolist()):
+            words[x] = n[i], [m[i] for m in more[:k]], [m[i] for m in more[k:]]
+        seated = hpylm._seatings(c, state)
+        for i in range(len(c)):
+            pairs[h[u[i]].item(), h[w[i]].item()] = c[i], [t[i] for t in seated]
+    return words, pairs
 
 
 def test_language_model_adds_up_to_one(spark, sf):
-    docs = hpylm.split(table(spark, sf, "documents")).where("not held_out")
-    model = hpylm.Model(docs, Workspace(spark, "t"))
-    rows = model.rows(model.state, True).collect()
-    total = sum(10.0 ** np.frombuffer(r.logs, "<f4").astype(float) for r in rows) + 10.0**model.unknown
-    assert np.allclose(total, 1, atol=1e-3)
+    model = hpylm.fit(hpylm.split(table(spark, sf, "documents").limit(60)).where("not held_out"), Workspace(spark, "t"))
+    words, pairs = word_totals(model)
+    assert sum(n for n, *_ in words.values()) == model.train_tokens and len(words) == model.words
+    for r, s in zip(model.rates, range(3), strict=True):
+        assert r.customers == sum(x[2][s] for x in words.values()) == sum(t[s] for _, t in pairs.values())
+    for u in sorted(words, key=lambda h: (-words[h][0], h))[:40]:
+        n, tables, _ = words[u]
+        rows = [(*words[w][::2], *pairs.get((u, w), (0, [0, 0, 0]))) for w in words] + [(0, [0, 0, 0], 0, [0, 0, 0])]
+        of = lambda k: [np.array([x[k][s] for x in rows]) for s in range(3)]
+        p = model.probabilities(n, tables, np.array([x[0] for x in rows]), of(1), np.array([x[2] for x in rows]), of(3))
+        assert abs(p.sum() - 1) < 1e-9
+
+
+def slow_model(texts, rates, sweeps, rng):
+    """Averaged probabilities by a plain sampler that seats one customer after another, tables and all."""
+    counts = Counter()
+    for t in texts:
+        w = tokens_of(t)
+        counts.update(zip(["\n", *w], w, strict=False))
+    n = Counter()
+    for (u, _), c in counts.items():
+        n[u] += c
+    sizes = {k: [c] for k, c in counts.items()}
+    tables, root = Counter(u for u, _ in counts), Counter(w for _, w in counts)
+    customers, total = len(counts), defaultdict(float)
+    for sweep in range(sweeps):
+        for (u, w), c in counts.items():
+            mine = sizes[u, w]
+            for _ in range(c if c > 1 else 0):
+                j = rng.choices(range(len(mine)), mine)[0]
+                mine[j] -= 1
+                if not mine[j]:
+                    del mine[j]
+                    tables[u], root[w], customers = tables[u] - 1, root[w] - 1, customers - 1
+                a = (rates.theta + rates.d * tables[u]) * (root[w] - rates.root_d) / (rates.root_theta + customers)
+                j = rng.choices(range(len(mine) + 1), [*(x - rates.d for x in mine), a])[0]
+                if j < len(mine):
+                    mine[j] += 1
+                else:
+                    mine.append(1)
+                    tables[u], root[w], customers = tables[u] + 1, root[w] + 1, customers + 1
+        if sweep >= sweeps // 4:
+            for (u, w), c in counts.items():
+                base = (root[w] - rates.root_d) / (rates.root_theta + customers)
+                total[u, w] += (c - rates.d * len(sizes[u, w]) + (rates.theta + rates.d * tables[u]) * base) / (rates.theta + n[u]) / (sweeps - sweeps // 4)
+    return total
+
+
+def test_language_model_agrees_with_a_plain_sampler(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(40)], k=40))) for i in range(60)]
+    train = [(i, t) for i, t in rows if not held(i)]
+    monkeypatch.setattr(hpylm, "_drawn", lambda grid, log, number: 1.0)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for ladder in (256, 4):  # by Stirling numbers, and by moves of single customers
+        monkeypatch.setattr(hpylm, "LADDER", ladder)
+        monkeypatch.setattr(hpylm.stirling, "__defaults__", (max(ladder, 4),))
+        model = hpylm.fit(hpylm.split(frame).where("not held_out"), Workspace(spark, "t"), burn=4, samples=10, parts=2)
+        want = slow_model([t for _, t in train], model.rates[0], 80, rng)
+        words, pairs = word_totals(model)
+        place = {w: hpylm.xxhash.xxh3_64_intdigest(w.encode()) for w in [*vocabulary, "\n"]}
+        got = {}
+        for (u, w) in want:
+            c, t = pairs[place[u], place[w]]
+            got[u, w] = float(model.probabilities(words[place[u]][0], words[place[u]][1], words[place[w]][0], words[place[w]][2], c, t))
+        off = sum(math.log(got[k]) - math.log(want[k]) for k in want) / len(want)
+        assert abs(off) < 0.02 and max(abs(math.log(got[k] / want[k])) for k in want) < 0.25
 
 
 def test_seating():
-    """The sampler's tables follow the distribution S(c, t) mass**t of the Pitman-Yor seating."""
-    c, d, a = 6, 0.5, 0.8
-    stirling = {1: {1: 1.0}}
+    """Tables follow the weights S(c, t) of Pitman-Yor seating, both drawn at once and by moves of single customers."""
+    c, rates = 6, hpylm.Rates(0.5, 0.8, 0.3, 2.0, 30)
+    tables, root, others = 3, 2, 29
+    weight = {}
+    numbers = {1: {1: 1.0}}
     for n in range(1, c):
-        stirling[n + 1] = {t: (n - d * t) * stirling[n].get(t, 0) + stirling[n].get(t - 1, 0) for t in range(1, n + 2)}
-    weight = {t: stirling[c][t] * a**t for t in stirling[c]}
-    rng = np.random.default_rng(1)
+        numbers[n + 1] = {t: (n - rates.d * t) * numbers[n].get(t, 0) + numbers[n].get(t - 1, 0) for t in range(1, n + 2)}
+    for t in numbers[c]:
+        weight[t] = numbers[c][t]
+        for k in range(t):
+            weight[t] *= (rates.theta + rates.d * (tables + k)) * (root + k - rates.root_d) / (rates.root_theta + others + k)
     n = 20000
-    t, w = hpylm.seat(np.full(n, c), np.full(n, a), d, rng)
-    for _ in range(6):
-        t, w = hpylm._resample(np.full(n, c), t, w, np.full(n, a), d, rng)
-    total = sum(weight.values())
-    for k, x in weight.items():
-        assert abs((t == k).mean() - x / total) < 0.015
-    many, _ = hpylm.seat(np.array([10**9, 1, 2]), np.array([1.0, 1.0, 1.0]), 0.5, rng)
-    # With a new table's mass fixed, tables grow with the logarithm of the customers.
-    assert 8 < many[0] < 60 and many[1] == 1
+    same = lambda x: np.full(n, x)
+    x = np.random.default_rng(1).random(n)
+    drawn = hpylm.draw(same(c), same(tables), same(root), same(others), hpylm.stirling(rates.d, c), rates, x)
+    pair = hpylm.mix64(np.arange(n), 9)
+    sizes = [np.array([c])] * n
+    for sweep in range(1, 3):
+        sizes = hpylm.move(same(c), sizes, same(tables), same(root), same(others), rates, pair, sweep, 20)
+    assert all(s.sum() == c and (s > 0).all() for s in sizes)
+    moved = np.array([len(s) for s in sizes])
+    for k, v in weight.items():
+        for t in (drawn, moved):
+            assert abs((t == k).mean() - v / sum(weight.values())) < 0.015
+    # With a new table's mass fixed, tables grow slowly with the customers, and so does the work to begin with.
+    many = hpylm.opened(np.array([10**9, 300]), np.array([1.0, 0.01]), 0.5)
+    assert [s.sum() for s in many] == [10**9, 300] and 4 < len(many[0]) < 100
+
+
+def test_packed_arrays():
+    for a in ([], [0, 1], [255, 256], [1 << 40, 3]):
+        assert hpylm.unpack(hpylm.pack(np.array(a, np.int64), np.array([0.5])))[0].tolist() == a
+    h = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 99, np.uint64, endpoint=False))
+    assert (hpylm.sums(hpylm.unpack(hpylm.pack(hpylm.deltas(h)))[0]) == h).all()
 
 
 def test_pii_surrogates(spark, sf, odd_docs, no_docs):
@@ -358,6 +465,3 @@ def test_documents_shorter_than_an_item_are_found():
                 want.add((t, k))
     assert got == want and (1, 0) in want
 
-
-def test_language_model_burns_in_before_it_samples():
-    assert hpylm.BURN >= 2 and hpylm.SAMPLES >= 3
