@@ -42,9 +42,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "shards")
-    manifest, row = resharding.transfer(table(spark, sf_dir, "documents"), ws)
-    placed = resharding.read(spark, ws, manifest, row)
+    placed = resharding.read(resharding.transfer(table(spark, sf_dir, "documents"), Workspace(spark, "shards")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "block", "moved")
 
 

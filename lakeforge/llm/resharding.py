@@ -1,37 +1,43 @@
 """Resharding by minimum-cost flow: move the fewest bytes from an old layout to new shards.
 
-The old layout has OLD_SHARDS shards, each stored in BLOCKS files ("blocks") by a hash of the
-document. From the shards' sizes and the new capacities (equal to within a byte) a minimum-cost
-flow says how many bytes each old shard sends to each new one; keeping bytes in place costs
-nothing, moving them costs one a byte. Each old shard is then cut along its order of blocks into
-one run for each new shard. Whole blocks are handed over as they are; only the blocks through
-which a cut passes are split, document by document, and need rewriting (``rewrite``).
+The old layout has OLD_SHARDS shards by a hash of doc_id (or as a column ``given`` says, null being 0), each stored in blocks, a file a block, of
+about BLOCK_BYTES by a hash of the document. From the shards' sizes and the new capacities (equal to
+within a byte) a minimum-cost flow says how many bytes each old shard sends to each new one; keeping
+bytes in place costs nothing, moving them costs one a byte. All blocks of a shard cost the same, so the
+shards' flow is the blocks' flow added up, and cutting each old shard along its order of blocks into one run for
+each new shard gives block transfers of the same, least cost. Whole blocks are handed over as they are;
+only the blocks through which a cut passes, fewer than old and new shards together, are split document by
+document.
 
 ``transfer`` does it on files: it writes the old layout (a folder a block), rewrites the cut blocks below
-the new shards, and commits a manifest that names the owner and folder of each block; only then are the old
-copies of cut blocks deleted. ``read`` takes sizes, checksums, shards and slots from the files the manifest lists.
+the new shards, and commits a manifest that names the owner of each block; only then are the old copies of cut
+blocks deleted. ``read`` takes sizes, checksums, shards and slots from the files that the manifest lists.
 
-Cuts miss by up to half a document each; ``_evened`` then moves a few single documents to even that out.
+Cuts miss by up to half a document each. ``_evened`` then lets single documents of cut blocks change shards, each the
+one nearest in size to what is still uneven, found among all documents of those blocks; they are rewritten in any case.
 
-What reaches the driver is one row a block (OLD_SHARDS * BLOCKS rows, however large the input).
-Windows run within one block.
+What reaches the driver is one row a block. Windows run within one block, and stream.
 
 Null text has no bytes (size 1) and crc32 0; a null doc_id is hashed like any other value.
-Repeated rows are placed one by one and may lie side by side. Extra columns are ignored.
+Repeated rows are placed one by one and may lie side by side. Documents with equal texts are placed by doc_id, so
+a group of copies spreads over the shards. Extra columns travel in a struct and may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import Workspace
 
 OLD_SHARDS = 6
 NEW_SHARDS = 8
-BLOCKS = 512
-CANDIDATES = 4096
+BLOCK_BYTES = 64 << 20
+LEAST_BLOCKS = 16
+ROUNDS = 8
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -82,182 +88,145 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int
     return flow
 
 
-def old_layout(docs: DataFrame, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, *, whole: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block of each document; an ``old_shard`` column of ``docs`` is taken as it is.
+def _size(text: str) -> Column:
+    return F.octet_length(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long") + 1
 
-    whole: the struct ``row`` has all columns besides.
-    """
+
+def _crc(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def old_layout(docs: DataFrame, old_shards: int, blocks: int, given: str | None = None) -> DataFrame:
+    """row (all columns of the document), size, text_crc32, block: blocks are numbered through, ``blocks`` a shard."""
     h = F.xxhash64("doc_id")
-    old = F.col("old_shard").cast("int") if "old_shard" in docs.columns else F.pmod(h, F.lit(old_shards)).cast("int")
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(
-        "doc_id",
-        (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        old.alias("old_shard"),
-        F.pmod(F.xxhash64(h, F.xxhash64(body)), F.lit(blocks)).cast("int").alias("block"),
-        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []),
-    )
-
-
-def plan(sizes: list[tuple[int, int, int]], new_shards: int) -> list[tuple]:
-    """From (old_shard, block, bytes): (old_shard, block, offset of the block, cuts of its shard as [(end, new shard)])."""
-    olds = sorted({o for o, _, _ in sizes})
-    total = {o: sum(b for x, _, b in sizes if x == o) for o in olds}
-    all_bytes = sum(total.values())
+    old = F.pmod(F.coalesce(F.col(given).cast("int"), F.lit(0)) if given else h, F.lit(old_shards))
+    block = old * blocks + F.pmod(F.xxhash64(h, F.xxhash64("text")), F.lit(blocks))
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _size("text").alias("size"), _crc("text").alias("text_crc32"), block.cast("int").alias("block"))
+
+
+def plan(sizes: dict[int, int], blocks: int, new_shards: int) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]], int]:
+    """From the blocks' bytes: the owner of each whole block, the runs [(end within the block, new shard)] of each cut block, and the flow's cost."""
+    total: dict[int, int] = {}
+    for b, n in sizes.items():
+        total[b // blocks] = total.get(b // blocks, 0) + n
+    olds, all_bytes = sorted(total), sum(total.values())
     capacity = [all_bytes // new_shards + (j < all_bytes % new_shards) for j in range(new_shards)]
     flow = min_cost_flow([total[o] for o in olds], capacity, lambda i, j: int(olds[i] != j))
-    out = []
+    owner: dict[int, int] = {}
+    cut: dict[int, list[tuple[int, int]]] = {}
+    at = {o: 0 for o in olds}
+    runs = {}
     for i, o in enumerate(olds):
         # What stays comes first; then the runs that leave, by target.
-        targets = sorted((j for j in range(new_shards) if flow[i][j]), key=lambda j: (j != o, j))
-        cuts, end = [], 0
-        for j in targets:
+        end, runs[o] = 0, []
+        for j in sorted((j for j in range(new_shards) if flow[i][j]), key=lambda j: (j != o, j)):
             end += flow[i][j]
-            cuts.append((end, j))
-        at = 0
-        for _, block, b in sorted(x for x in sizes if x[0] == o):
-            out.append((o, block, at, cuts))
-            at += b
-    return out
-
-
-def _moves(placed: DataFrame, new_shards: int) -> list[tuple]:
-    """(doc_id, text_crc32, size, new shard) of a few single documents that even out what the cuts missed.
-
-    They are chosen on the driver from documents thinned by a hash to about CANDIDATES, and only where no
-    other row is equal to them.
-    """
-    totals = {r.shard: (r.n, r.bytes) for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
-    rows, size = sum(n for n, _ in totals.values()), sum(b for _, b in totals.values())
-    if not rows:
-        return []
-    off = {j: totals.get(j, (0, 0))[1] - size / new_shards for j in range(new_shards)}
-    key = ["doc_id", "text_crc32", "size"]
-    thin = F.pmod(F.xxhash64(*key), F.lit(max(1, rows // CANDIDATES))) == 0
-    single = placed.where(thin).groupBy(*key).agg(F.count("*").alias("n"), F.first("shard").alias("shard")).where("n = 1 and doc_id is not null")
-    free: dict[int, list] = {j: [] for j in off}
-    for r in single.orderBy("size", "doc_id", "text_crc32").collect():
-        free[r.shard].append((r.size, r.doc_id, r.text_crc32))
-    moves = []
-    for _ in range(16 * new_shards):
-        over, under = max(off, key=off.get), min(off, key=off.get)
-        worst = max(off[over], -off[under])
-        best = min(free[over], key=lambda x: max(abs(off[over] - x[0]), abs(off[under] + x[0])), default=None)
-        if best is None or max(abs(off[over] - best[0]), abs(off[under] + best[0])) >= worst:
+            runs[o].append((end, j))
+    for b in sorted(sizes):
+        o, n = b // blocks, sizes[b]
+        mine = [(min(end - at[o], n), j) for k, (end, j) in enumerate(runs[o]) if end > at[o] and (runs[o][k - 1][0] if k else 0) < at[o] + n]
+        if len(mine) == 1:
+            owner[b] = mine[0][1]
+        else:
+            cut[b] = mine
+        at[o] += n
+    return owner, cut, sum(flow[i][j] for i, o in enumerate(olds) for j in range(new_shards) if j != o)
+
+
+_ORDER = ("row.doc_id", "text_crc32", "size")
+
+
+def _placed(cut_rows: DataFrame, cut: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """Rows of cut blocks with seq, their place in the block, and shard: where a document's middle byte lies, so a cut is missed by half a document at most."""
+    runs = cut_rows.sparkSession.createDataFrame(list(cut.items()), "block int, runs array<struct<end: long, shard: int>>")
+    order = Window.partitionBy("block").orderBy(*_ORDER)
+    rows = cut_rows.withColumn("seq", F.row_number().over(order)).withColumn("begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    shard = F.expr("coalesce(element_at(filter(runs, r -> 2 * r.end > 2 * begin + size), 1).shard, element_at(runs, -1).shard)")
+    return rows.join(F.broadcast(runs), "block").withColumn("shard", shard).drop("runs", "begin")
+
+
+def _evened(placed: DataFrame, off: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(block, seq, new shard) of documents of cut blocks that even out what the cuts missed; ``off`` is each shard's bytes over its capacity."""
+    moves: list[tuple[int, int, int]] = []
+    for _ in range(ROUNDS):
+        over, under = sorted((j for j in off if off[j] > 0), key=lambda j: -off[j]), sorted((j for j in off if off[j] < 0), key=off.get)
+        pairs = {o: u for o, u in zip(over, under, strict=False)}
+        if not pairs:
+            break
+        want = F.coalesce(*(F.when(F.col("shard") == o, F.lit(min(off[o], -off[u]))) for o, u in pairs.items()))
+        rest = placed.where(F.col("shard").isin(list(pairs)))
+        for block in {b for b, _, _ in moves}:
+            rest = rest.where((F.col("block") != block) | ~F.col("seq").isin([s for b, s, _ in moves if b == block]))
+        best = rest.groupBy("shard").agg(F.min(F.struct(F.abs(F.col("size") - want).alias("miss"), "block", "seq", "size")).alias("x")).collect()
+        found = False
+        for r in sorted(best, key=lambda r: r.shard):
+            o, u, n = r.shard, pairs[r.shard], r.x["size"]
+            if max(abs(off[o] - n), abs(off[u] + n)) < max(off[o], -off[u]):
+                off[o], off[u], found = off[o] - n, off[u] + n, True
+                moves.append((r.x.block, r.x.seq, u))
+        if not found:
             break
-        free[over].remove(best)
-        off[over], off[under] = off[over] - best[0], off[under] + best[0]
-        moves.append((best[1], best[2], best[0], under))
     return moves
 
 
-def _evened(placed: DataFrame, moves: list[tuple]) -> DataFrame:
-    """The documents of ``moves`` change shards."""
-    if not moves:
-        return placed
-    key = ["doc_id", "text_crc32", "size"]
-    kind = placed.schema["doc_id"].dataType.simpleString()
-    to = placed.sparkSession.createDataFrame(moves, f"doc_id {kind}, text_crc32 long, size long, _to int")
-    return placed.join(F.broadcast(to), key, "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
-
-
-_ORDER = ["doc_id", "text_crc32", "size"]
-
-
-def _cuts(laid: DataFrame, new_shards: int) -> DataFrame:
-    """``plan``'s rows, one a block."""
-    sizes = [(r.old_shard, r.block, r.bytes) for r in laid.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()]
-    return laid.sparkSession.createDataFrame(plan(sizes, new_shards), "old_shard int, block int, at long, cuts array<struct<end: long, shard: int>>")
-
-
-def _placed(laid: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``laid`` with the new shard of each document, as the cuts say."""
-    in_block = Window.partitionBy("old_shard", "block")
-    return (
-        laid.join(F.broadcast(cuts), ["old_shard", "block"])
-        .withColumn("_from", F.col("at") + F.sum("size").over(in_block.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        # A document goes where its middle byte lies, so a cut is missed by half a document at most.
-        .withColumn("shard", F.expr("coalesce(element_at(filter(cuts, c -> 2 * c.end > 2 * _from + size), 1).shard, element_at(cuts, -1).shard)"))
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", *(["row"] if "row" in laid.columns else []))
-    )
-
-
-def _slotted(placed: DataFrame) -> DataFrame:
-    """With slot and moved. Slots: by block within the shard, then by document within the block."""
-    counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    starts = counts.select("shard", "old_shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")).alias("_before"))
-    return (
-        placed.join(F.broadcast(starts), ["shard", "old_shard", "block"])  # a few rows a block: its shards, and those of documents that were evened out
-        .withColumn("slot", F.col("_before") + F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy(*_ORDER)) - 1)
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"), *(["row"] if "row" in placed.columns else []))
-    )
-
-
-def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, *, whole: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block, shard, slot, moved; with ``whole`` also ``row``, all columns of the document."""
-    laid = old_layout(docs, old_shards, blocks, whole=whole)
-    placed = _placed(laid, _cuts(laid, new_shards))
-    return _slotted(_evened(placed, _moves(placed, new_shards)))
-
-
-def affected(assigned: DataFrame) -> DataFrame:
-    """(old_shard, block, shard) of the block files; ``rewrite`` is true for those that a cut splits, others change owner as they are."""
-    parts = assigned.groupBy("old_shard", "block").agg(F.countDistinct("shard").alias("n"), F.min("shard").alias("shard"))
-    return parts.select("old_shard", "block", F.when(F.col("n") == 1, F.col("shard")).alias("shard"), (F.col("n") > 1).alias("rewrite"))
-
-
-def rewrite(docs: DataFrame, path: str, **layout) -> DataFrame:
-    """Write the documents of the split blocks anew, one folder a shard, all columns of ``docs`` each.
-
-    Returns ``affected``'s list, which is the new layout: it names the owner of every whole block, and the blocks replaced by ``path``.
-    """
-    assigned = reshard(docs, whole=True, **layout)
-    files = affected(assigned)
-    split = files.where("rewrite").select("old_shard", "block")
-    assigned.join(F.broadcast(split), ["old_shard", "block"], "left_semi").select("shard", "row.*").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return files
-
-
-def _digest(files: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size, text_crc32 and ``more`` of the documents in ``row``, from the text as it was read."""
-    body = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
-    return files.select(F.col("row.doc_id").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), *more)
-
-
-def _files(spark: SparkSession, at: str, row, folders: list[str]) -> DataFrame:
-    return spark.read.schema(StructType([StructField("row", row), *(StructField(x, IntegerType()) for x in folders)])).parquet(at)
-
-
-def transfer(docs: DataFrame, ws: Workspace, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> tuple[DataFrame, StructType]:
-    """Reshard on files below ``ws``: the manifest (shard, old_shard, block, rewritten), one row a folder of the new layout, and the rows' type.
-
-    Whole blocks stay where they are and change owner; cut blocks are written anew below ``new``.
+@dataclass
+class Layout:
+    """The new layout below a workspace: ``manifest`` has (shard, block) of the whole blocks; ``cost`` is the least number of bytes to move."""
+
+    ws: Workspace
+    manifest: DataFrame
+    row: StructType
+    blocks: int
+    cost: int
+    cut: list[int]
+
+
+def _files(layout: Layout, name: str) -> DataFrame:
+    folder = {"old": "block", "new": "shard"}[name]
+    inside = [StructField("row", layout.row), StructField("size", LongType()), StructField("text_crc32", LongType()), *([StructField("block", IntegerType())] if name == "new" else [])]
+    return layout.ws.spark.read.schema(StructType([*inside, StructField(folder, IntegerType())])).parquet(f"{layout.ws.path}/{name}")
+
+
+def transfer(docs: DataFrame, ws: Workspace, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, *, block_bytes: int = BLOCK_BYTES, least: int = LEAST_BLOCKS, given: str | None = None) -> Layout:
+    """Reshard on files below ``ws``: whole blocks stay where they are and change owner, cut blocks are written anew."""
+    spark = docs.sparkSession
+    all_bytes = docs.agg(F.sum(_size("text"))).first()[0] or 0
+    blocks = max(least, -(-all_bytes // (old_shards * block_bytes)))
+    laid = old_layout(docs, old_shards, blocks, given)
+    layout = Layout(ws, None, laid.schema["row"].dataType, blocks, 0, [])
+    laid.repartitionById(old_shards * blocks, F.col("block")).sortWithinPartitions("block", *_ORDER).write.option("compression", "zstd").partitionBy("block").parquet(f"{ws.path}/old")
+    old = _files(layout, "old")
+    sizes = {r.block: r.bytes for r in old.groupBy("block").agg(F.sum("size").alias("bytes")).collect()}
+    owner, cut, layout.cost = plan(sizes, blocks, new_shards)
+    layout.cut = sorted(cut)
+    cut_rows = old.where(F.col("block").isin(layout.cut))  # folders of other blocks aren't read
+    placed = ws.write(_placed(cut_rows.select(F.struct("row.doc_id").alias("row"), "size", "text_crc32", "block"), cut).select("block", "seq", "size", "shard"), "placed")
+    total = sum(sizes.values())
+    off = {j: -(total // new_shards + (j < total % new_shards)) for j in range(new_shards)}
+    for b, j in owner.items():
+        off[j] += sizes[b]
+    for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
+        off[r.shard] += r.bytes
+    moves = spark.createDataFrame(_evened(placed, off), "block int, seq int, to int")
+    again = _placed(cut_rows, cut).join(F.broadcast(moves), ["block", "seq"], "left").withColumn("shard", F.coalesce("to", "shard")).drop("seq", "to")
+    again.repartitionById(new_shards, F.col("shard")).sortWithinPartitions("shard", "block", *_ORDER).write.option("compression", "zstd").partitionBy("shard").parquet(f"{ws.path}/new")
+    layout.manifest = ws.write(spark.createDataFrame([(j, b) for b, j in sorted(owner.items())], "shard int, block int").coalesce(1), "manifest")
+    ws.drop("placed", *(f"old/block={b}" for b in layout.cut))
+    return layout
+
+
+def read(layout: Layout, *, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, block, shard, slot, moved, from the files of the new layout; with ``whole`` also ``row``.
+
+    Slots go by block within the shard, then by document within the block.
     """
-    spark, old_at, new_at = docs.sparkSession, f"{ws.path}/old", f"{ws.path}/new"
-    laid = old_layout(docs, old_shards, blocks, whole=True)
-    row = laid.schema["row"].dataType
-    in_order = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by, *_ORDER).select(*by, "row").write.option("compression", "zstd").partitionBy(*by)
-    in_order(laid, "old_shard", "block").parquet(old_at)
-    old = _files(spark, old_at, row, ["old_shard", "block"])
-    known = ws.write(_digest(old, "old_shard", "block"), "sizes")
-    cuts = _cuts(known, new_shards)
-    placed = _placed(known, cuts)
-    moves = _moves(placed, new_shards)
-    owners = _evened(placed, moves).groupBy("old_shard", "block").agg(F.sort_array(F.collect_set("shard")).alias("shards")).collect()
-    cut = [(r.old_shard, r.block) for r in owners if len(r.shards) > 1]
-    number = F.col("old_shard").cast("long") * blocks + F.col("block")  # folders of other blocks aren't read
-    again = _evened(_placed(_digest(old.where(number.isin([o * blocks + b for o, b in cut])), "old_shard", "block", "row"), cuts), moves)
-    in_order(again, "shard", "old_shard", "block").parquet(new_at)
-    layout = [(s, r.old_shard, r.block, len(r.shards) > 1) for r in owners for s in r.shards]
-    manifest = ws.write(spark.createDataFrame(layout, "shard int, old_shard int, block int, rewritten boolean").coalesce(1), "manifest")
-    ws.drop("sizes", *(f"old/old_shard={o}/block={b}" for o, b in cut))
-    return manifest, row
-
-
-def read(spark: SparkSession, ws: Workspace, manifest: DataFrame, row: StructType, *, whole: bool = False) -> DataFrame:
-    """``reshard``'s columns, from the files of the new layout; with ``whole`` also ``row``."""
-    more = ["old_shard", "block", "shard", *(["row"] if whole else [])]
-    kept = _files(spark, f"{ws.path}/old", row, ["old_shard", "block"]).join(F.broadcast(manifest.where("not rewritten")), ["old_shard", "block"])
-    new = _files(spark, f"{ws.path}/new", row, ["shard", "old_shard", "block"]).join(F.broadcast(manifest.where("rewritten")), ["shard", "old_shard", "block"])
-    return _slotted(_digest(kept, *more).unionByName(_digest(new, *more)))
+    rows = _files(layout, "old").join(layout.manifest, "block").select("row", "block", "shard").unionByName(_files(layout, "new").select("row", "block", "shard"))
+    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
+    starts = counts.select("shard", "block", before.alias("before"))
+    found = rows.select(F.col("row.doc_id").alias("doc_id"), _size("row.text").alias("size"), _crc("row.text").alias("text_crc32"), "block", "shard", *(["row"] if whole else []))
+    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
+    old = F.expr(f"cast(block div {layout.blocks} as int)")
+    return found.withColumn("place", place).join(starts, ["shard", "block"]).select(
+        "doc_id", "size", "text_crc32", old.alias("old_shard"), "block", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), (F.col("shard") != old).alias("moved"), *(["row"] if whole else [])
+    )

@@ -124,50 +124,74 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abc)?[0-9]") is secrets.ANY
 
 
-def test_resharding(spark, sf, odd_docs, no_docs):
-    for docs in (table(spark, sf, "documents"), odd_docs):
-        rows = resharding.reshard(docs).collect()
-        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
-        slots = defaultdict(list)
-        for r in rows:
-            slots[r.shard].append(r.slot)
-        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-        total = Counter()
-        for r in rows:
-            total[r.shard] += r.size
-        assert set(total) <= set(range(8))
-        mean = sum(total.values()) / 8
-        # A shard is made of one run from each old shard; each run's ends miss by half a document.
-        assert max(abs(total[k] - mean) for k in range(8)) <= resharding.OLD_SHARDS * max(r.size for r in rows)
-    assert resharding.reshard(no_docs).count() == 0
-
-
 def test_flow_moves_the_fewest_bytes():
     flow = resharding.min_cost_flow([10, 20, 30], [15, 15, 15, 15], lambda i, j: int(i != j))
     assert [sum(r) for r in flow] == [10, 20, 30] and [sum(c) for c in zip(*flow, strict=True)] == [15] * 4
     assert sum(flow[i][j] for i in range(3) for j in range(4) if i != j) == 20
 
 
-def test_rewrite_holds_each_row_once(spark, sf, tmp_path):
-    docs = table(spark, sf, "documents")
-    files = resharding.rewrite(docs, f"file://{tmp_path}/new", blocks=4)
-    split = {(r.old_shard, r.block) for r in files.collect() if r.rewrite}
-    want = Counter((r.doc_id, r.shard) for r in resharding.reshard(docs, blocks=4).collect() if (r.old_shard, r.block) in split)
-    assert Counter((r.doc_id, r.shard) for r in spark.read.parquet(f"file://{tmp_path}/new").collect()) == want
+def least_moved(total, capacity):
+    """The fewest bytes that leave their shard, by trying all that each old shard may keep."""
+    return sum(max(0, n - (capacity[o] if o < len(capacity) else 0)) for o, n in total.items())
+
+
+def test_plan_moves_the_fewest_bytes():
+    """Against brute force: what a shard keeps is bounded by its size and its capacity, and no more need move."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        olds, news, blocks = rng.randrange(1, 5), rng.randrange(1, 6), rng.randrange(1, 6)
+        sizes = {o * blocks + b: rng.randrange(1, 50) for o in range(olds) for b in range(blocks) if rng.random() < 0.8}
+        if not sizes:
+            continue
+        owner, cut, cost = resharding.plan(sizes, blocks, news)
+        got, moved = Counter(), 0
+        for b, n in sizes.items():
+            runs, at = ([(n, owner[b])] if b in owner else cut[b]), 0
+            assert runs[-1][0] == n and len(runs) == len({j for _, j in runs})
+            for end, j in runs:
+                assert end > at
+                got[j] += end - at
+                moved += (end - at) * (j != b // blocks)
+                at = end
+        total, all_bytes = Counter(), sum(sizes.values())
+        for b, n in sizes.items():
+            total[b // blocks] += n
+        capacity = [all_bytes // news + (j < all_bytes % news) for j in range(news)]
+        assert [got[j] for j in range(news)] == capacity and moved == cost == least_moved(total, capacity)
+        assert len(cut) < olds + news
 
 
 def test_transfer_moves_the_files(spark, sf, odd_docs, no_docs):
-    """What the new shards hold is what was assigned, and the query reads it from them."""
-    for docs, blocks in ((table(spark, sf, "documents"), 8), (odd_docs, 4), (no_docs, 4)):
-        ws = Workspace(spark, "t")
-        manifest, row = resharding.transfer(docs, ws, blocks=blocks)
-        columns = ["doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", "moved"]
-        got = resharding.read(spark, ws, manifest, row, whole=True)
-        assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(tuple(r) for r in resharding.reshard(docs, blocks=blocks).select(*columns).collect())
-        assert Counter(tuple(r) for r in got.select("row.*").collect()) == Counter(tuple(r) for r in docs.collect())
-        listed = manifest.collect()
-        assert {r.shard for r in listed if r.rewritten} or not docs.count()
-        old = Path(f"{ws.path}/old".removeprefix("file://"))
-        assert all((old / f"old_shard={r.old_shard}/block={r.block}").exists() != r.rewritten for r in listed)
-    # Here blocks hold a document or none, so none is cut.
-    assert any("/old/old_shard=" in f for f in entries.op8_min_cost_resharding(spark, sf).inputFiles())
+    """The new shards hold each row once, near equal in bytes, and all but the cut blocks' files stay."""
+    clash = odd_docs.selectExpr("*", "1 as block", "2 as shard", "3 as old_shard", "4 as seq", "5 as size", "6 as row", "7 as slot")
+    for docs, least in ((table(spark, sf, "documents"), 4), (odd_docs, 2), (clash, 1), (no_docs, 4)):
+        layout = resharding.transfer(docs, Workspace(spark, "t"), least=least)
+        rows = resharding.read(layout, whole=True)
+        assert Counter(map(repr, rows.select("row.*").collect())) == Counter(map(repr, docs.collect()))
+        rows = rows.collect()
+        slots, total, moved = defaultdict(list), Counter(), 0
+        for r in rows:
+            body = (r.row.text or "").encode()
+            assert (r.doc_id, r.size, r.text_crc32) == (r.row.doc_id, len(body) + 1, zlib.crc32(body)) and r.moved == (r.shard != r.old_shard)
+            slots[r.shard].append(r.slot)
+            total[r.shard] += r.size
+            moved += r.size * r.moved
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(total) <= set(range(8))
+        sizes = [r.size for r in rows]
+        if least == 4 and rows:
+            assert max(total.values()) - min(total[j] for j in range(8)) < max(sizes) and abs(moved - layout.cost) < 8 * max(sizes)
+        old = Path(f"{layout.ws.path}/old".removeprefix("file://"))
+        assert not any((old / f"block={b}").exists() for b in layout.cut) and all((old / f"block={r.block}").exists() for r in layout.manifest.collect())
+        assert layout.cut or not rows
+    whole = {r.doc_id: r for r in entries.op8_min_cost_resharding(spark, sf).collect()}
+    assert whole.keys() == {r.doc_id for r in table(spark, sf, "documents").collect()}
+
+
+def test_transfer_from_a_given_layout(spark):
+    """Shards that fit stay whole; the files of the one that is too large are all that is touched."""
+    docs = spark.createDataFrame([(i, "x" * 99, 0 if i < 40 else 1) for i in range(60)], "doc_id long, text string, home int")
+    layout = resharding.transfer(docs, Workspace(spark, "t"), 2, 2, least=4, given="home")
+    rows = resharding.read(layout).collect()
+    assert Counter(r.shard for r in rows) == {0: 30, 1: 30} and sum(r.size for r in rows if r.moved) == layout.cost == 1000 and len(layout.cut) <= 1
