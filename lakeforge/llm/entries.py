@@ -47,7 +47,7 @@ def op8_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lshforest.cluster(table(spark, sf_dir, "documents"), Workspace(spark, "forest")).drop("cid", "version")
+    return lshforest.cluster(table(spark, sf_dir, "documents"), Workspace(spark, "forest"))
 
 
 def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,17 @@ words is a single shingle. Two documents are linked if 100 * |A & B| >= 75 * |A
    corpus may be copies of one text.
 2. Each class has a signature of TREES * DEPTH MinHash values. The forest is TREES sorted orders
    of the classes: order t sorts by the signature read from value t * DEPTH on, around.
-3. Classes that share at least DEPTH leading values in an order form a region. Neighbours in the
-   order, which share the longest prefixes, and the region's first class are candidates. In a
-   region that holds more than WIDE classes the order goes by DEEP further values, so it
-   is the deeper prefixes that put neighbours together.
+3. Classes that share at least DEPTH leading values in an order form a region. A class's candidates are
+   its predecessor in the order, which shares the longest prefix with it, and the first class of each
+   deeper prefix that the two share: down to DEEP further values, as deep as the class has company.
+   In a region of up to WIDE classes all meet.
 4. Candidates whose sketches (a byte of each MinHash value) agree in ALIKE places or more are
    confirmed on full shingle sets: first each class with the least of its candidates, which in a
    large group is nearly always the same one, then those that this has not joined yet.
-5. In regions wider than WIDE not each pair was a neighbour. Where such a region holds several components,
+5. In regions wider than WIDE not each pair was a candidate. Where such a region holds several components,
    each class outside the largest one is compared with all of the region's classes, in blocks of BLOCK
-   by BLOCK sketches; what is alike is confirmed as above. No candidate is dropped or capped.
+   by BLOCK: by sketches, and where these are alike by full sets. One link joins two components, so a block that
+   has found one leaves their other pairs out; no other pair is left out.
 
 Two sets at similarity 0.75 or more agree in fewer than ALIKE places with a probability below 1e-6.
 A pair at similarity 0.75 shares a region in some order with probability 1 - (1 - 0.75**4)**28,
@@ -24,6 +25,7 @@ all but 2.4 in 100,000.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows
 with equal doc_id and text are one document and share one verdict; a null doc_id is larger than all others.
+Ids are integers. Extra columns are carried in a struct and may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from .common import SHINGLE, Workspace, batch_words, map_arrow, mix64, text_stri
 PERCENT = 75
 TREES, DEPTH, DEEP = 28, 4, 4
 WIDE = 8
-ALIKE, BLOCK, SHOWN = 62, 1024, 3
+ALIKE, BLOCK = 62, 1024
+SALTS = 16
 
 _FACTORS = mix64(np.arange(SHINGLE), 3) | np.uint64(1)
 _A = mix64(np.arange(TREES * DEPTH), 5) | np.uint64(1)
@@ -123,12 +126,12 @@ _FOUND = "a binary, b binary, region long, member binary, n long"
 def _neighbours(batches):
     """From a sorted run: candidate pairs (a, b), and the members of wide regions and of those at the run's ends."""
     region, first = None, True
-    head = before = None
+    before = None
+    prefixes: list[int] = []  # of the last row, from none of the further values to all DEEP of them
+    heads: list[tuple] = []  # the first class that has each of these
     open_rows: list[tuple] = []  # the region's members while it isn't known to be wide
     wide = False
-
-    def near(x: int, y: int) -> bool:
-        return 100 * min(x, y) >= PERCENT * max(x, y)
+    shifts = [64 - 64 // DEEP * k for k in range(DEEP + 1)]
 
     for b in batches:
         pairs_a, pairs_b, regions, members, sizes = [], [], [], [], []
@@ -139,24 +142,25 @@ def _neighbours(batches):
                 members.append(c)
                 sizes.append(n)
 
-        for r, c, n in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+        for r, deep, c, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            mine = [(deep & 0xFFFFFFFFFFFFFFFF) >> k for k in shifts]
             if r != region:
                 if first and region is not None:
                     member(open_rows)
                     first = False
-                region, head, before, open_rows, wide = r, (c, n), (c, n), [(r, c, n)], False
+                region, before, open_rows, wide = r, (c, n), [(r, c, n)], False
+                prefixes, heads = mine, [(c, n)] * (DEEP + 1)
                 continue
-            for other in (before,) if before[0] == head[0] else (before, head):
-                if near(other[1], n):
-                    pairs_a.append(min(c, other[0]))
-                    pairs_b.append(max(c, other[0]))
+            shared = next((k for k in range(DEEP + 1) if mine[k] != prefixes[k]), DEEP + 1)
+            others = {x[0]: x[1] for x in (before, *heads[:shared])}
             if not wide:
                 # Few members: all of them meet.
-                for _, oc, on in open_rows:
-                    if oc != before[0] and oc != head[0] and near(on, n):
-                        pairs_a.append(min(c, oc))
-                        pairs_b.append(max(c, oc))
-            before = (c, n)
+                others |= {oc: on for _, oc, on in open_rows}
+            for oc, on in others.items():
+                if 100 * min(on, n) >= PERCENT * max(on, n):
+                    pairs_a.append(min(c, oc))
+                    pairs_b.append(max(c, oc))
+            prefixes, heads, before = mine, heads[:shared] + [(c, n)] * (DEEP + 1 - shared), (c, n)
             if wide:
                 member([(r, c, n)])
             else:
@@ -224,7 +228,8 @@ class Forest:
         self.sets = ws.write(document_sets(docs), "documents")
         full = self.sets.where("cid is not null")
         # A class's members have one signature, so any row's will do.
-        self.classes = ws.write(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")), "classes")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+        self.classes = ws.write(full.groupBy("cid").agg(first, F.max("n_shingles").alias("n"), F.max("signature").alias("signature")), "classes")
 
     def sketches(self) -> DataFrame:
         def run(batches):
@@ -259,9 +264,9 @@ class Forest:
 
     def sets_of(self, ids: DataFrame, label: str) -> DataFrame:
         """(cid, hashes) of the classes in ``ids`` (cid), made anew from their first documents' texts."""
-        reps = self.classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(reps, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
-        # Rows that share a doc_id may differ in text: only sets that are asked for stay, each once.
+        firsts = self.classes.join(ids, "cid", "left_semi").select(F.col("first.doc_id").alias("id"), "first.version").distinct()
+        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("own"))
+        texts = rows.join(firsts.hint("merge"), F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("version")), "left_semi")
         return self.ws.write(_texts_of(texts).join(ids, "cid", "left_semi").dropDuplicates(["cid"]), f"sets-{label}")
 
     def confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -304,30 +309,26 @@ class Forest:
             roots = self.merged(roots, self.confirmed(rest, "rest"), "second")
         wide = ws.write(self.wide(members, roots), "wide")
         if not wide.isEmpty():
-            roots = self.merged(roots, self.confirmed(wide, "wide"), "third")
+            roots = self.merged(roots, wide, "third")
         return roots
 
     def wide(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """(a, b, ra, rb): pairs in wide regions that join components, one class outside the region's largest component.
-
-        Blocks are compared by sketches, then by sets of 32-bit hashes; up to SHOWN pairs that seem linked are given
-        for two components and a block, since one link joins them. The full sets have the last word.
-        """
+        """(ra, rb): components that a link within a wide region joins, one end outside the region's largest component."""
         ws = self.ws
         named = ws.write(self.labelled(members.distinct(), roots, "cid", "root"), "members")
         sizes = named.groupBy("region", "root").agg(F.count("*").alias("_size"))
         regions = sizes.groupBy("region").agg(F.max_by("root", F.struct("_size", "root")).alias("_main"), F.sum("_size").alias("_all"), F.max("_size").alias("_most"))
         mixed = regions.where("_most < _all").withColumn("_out", F.col("_all") - F.col("_most")).drop("_most")
-        named = ws.write(named.join(mixed.hint("merge"), "region"), "mixed")
-        ids = named.select("cid").distinct()
+        # A region may hold a third of all classes, so its rows are dealt by a salt.
+        salted = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = ws.write(named.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["region", "_salt"]).drop("_salt"), "mixed")
         sketches = ws.spark.read.schema("cid binary, sketch binary").parquet(f"{ws.path}/sketches")
 
-        def short(batches):
+        def packed(batches):
             for b in batches:
-                sets = [np.unique(np.array(x, np.int64).astype(np.uint32)).tobytes() for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["cid", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(np.array(x, np.int64)).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["cid", "hashes"])
 
-        sets = map_arrow(self.sets_of(ids, "mixed"), short, "cid binary, hashes binary")
+        sets = map_arrow(self.sets_of(named.select("cid").distinct(), "mixed"), packed, "cid binary, hashes binary")
         rows = named.join(sketches.hint("merge"), "cid").join(sets.hint("merge"), "cid")
         # A block of the region's classes meets a block of those outside its largest component.
         part = lambda total: f"cast(pmod(xxhash64(cid), ceil({total} / {BLOCK})) as int)"
@@ -336,56 +337,60 @@ class Forest:
         inside = rows.select(*columns, F.expr(part("_all")).alias("i"), every("_out").alias("j"), F.lit(False).alias("asks"))
         outside = rows.where("root <> _main").select(*columns, every("_all").alias("i"), F.expr(part("_out")).alias("j"), F.lit(True).alias("asks"))
         blocks = inside.unionByName(outside).groupBy("region", "i", "j")
-        return blocks.applyInArrow(_compare, "a binary, b binary, ra binary, rb binary").distinct()
+        return blocks.applyInArrow(_compare, "ra binary, rb binary").distinct()
 
 
 def _compare(t: pa.Table) -> pa.Table:
+    """The components that some pair of a block links: sketches first, then full sets."""
     t = t.combine_chunks()
     asks = t.column("asks").to_numpy()
-    cid, root, n = np.array(t.column("cid").to_pylist(), object), np.array(t.column("root").to_pylist(), object), t.column("n").to_numpy()
+    root, n = np.array(t.column("root").to_pylist(), object), t.column("n").to_numpy()
     m, raw = _matrix(t.column("sketch").combine_chunks()), t.column("hashes").to_pylist()
     x = np.flatnonzero(~asks)
-    out: tuple[list, ...] = ([], [], [], [])
-    shown: dict[tuple, int] = {}
+    joined: set[tuple] = set()
     for i in np.flatnonzero(asks).tolist():
         near = (100 * np.minimum(n[x], n[i]) >= PERCENT * np.maximum(n[x], n[i])) & (root[x] != root[i])
         y = x[near]
         mine = None
         for k in y[(m[y] == m[i]).sum(axis=1) >= ALIKE].tolist():
-            pair = tuple(sorted((root[i], root[k])))
-            if shown.get(pair, 0) >= SHOWN:
+            pair = (min(root[i], root[k]), max(root[i], root[k]))
+            if pair in joined:
                 continue
             if mine is None:
-                mine = np.frombuffer(raw[i], np.uint32)
-            other = np.frombuffer(raw[k], np.uint32)
+                mine = np.frombuffer(raw[i], np.int64)
+            other = np.frombuffer(raw[k], np.int64)
             both = len(np.intersect1d(mine, other, assume_unique=True))
-            if 100 * both < PERCENT * (len(mine) + len(other) - both):
-                continue
-            shown[pair] = shown.get(pair, 0) + 1
-            lo, hi = (i, k) if cid[i] < cid[k] else (k, i)
-            for column, v in zip(out, (cid[lo], cid[hi], root[lo], root[hi]), strict=True):
-                column.append(v)
-    return pa.table([pa.array(c, pa.binary()) for c in out], names=["a", "b", "ra", "rb"])
+            if 100 * both >= PERCENT * (len(mine) + len(other) - both):
+                joined.add(pair)
+    a, b = zip(*sorted(joined), strict=True) if joined else ((), ())
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["ra", "rb"])
+
+
+def _components(forest: Forest, ws: Workspace) -> DataFrame:
+    """cid and first, the first document of its component (none, doc_id, version), of each class."""
+    named = forest.labelled(forest.classes.select("cid", "first"), forest.roots(), "cid", "root")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return ws.write(named.select("cid", "root").join(least, "root").select("cid", "first"), "labels")
 
 
 def cluster(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, cid and version (a hash of the text) for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     forest = Forest(docs, ws)
-    named = forest.labelled(forest.classes.select("cid", "rep"), forest.roots(), "cid", "root")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = ws.write(named.join(least, "root").select("cid", "component_id"), "labels")
-    rows = forest.sets.select("doc_id", "n_shingles", "cid", "version").join(labels.hint("merge"), "cid", "left")
-    own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "cid", "version")
+    labels = _components(forest, ws).select("cid", F.col("first.doc_id").alias("least"))
+    rows = forest.sets.select("doc_id", "n_shingles", "cid").join(labels.hint("merge"), "cid", "left")
+    own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The documents that are the first of their component, and all texts without words, in the columns of ``docs``.
+    """The first document of each component (by doc_id, null last, then by a hash of the text), and all texts without words, in the columns of ``docs``.
 
-    Equal rows of a document that stays become one. Documents without an id that resemble only each other all stay.
+    Equal rows of a document that stays become one.
     """
-    firsts = cluster(docs, ws).where("kept and cid is not null").select(F.col("doc_id").alias("_first"), F.col("version").alias("_version")).distinct()
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_version"))
-    kept = docs.where(~wordless).withColumn("_own", F.xxhash64("text")).join(firsts.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return docs.where(wordless).union(kept.select(*docs.columns))
+    firsts = _components(Forest(docs, ws), ws).select("first.doc_id", "first.version").distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    wordless = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("own"), wordless.alias("wordless"))
+    met = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("version"))
+    kept = rows.where("not wordless").join(firsts.hint("merge"), met, "left_semi").dropDuplicates(["id", "own"])
+    return rows.where("wordless").union(kept).select("row.*")
