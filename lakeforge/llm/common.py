@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the separators of words: space and U+0009 to U+000D.
 #: ``bytes.split()`` and ``bytes.strip()`` without arguments use exactly these.
@@ -123,7 +124,7 @@ def release_others(owner: str) -> None:
         del _KEPT[key]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, owner: str = "") -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS, owner: str = "") -> DataFrame:
     """mapInArrow whose function sees batches of at most ``rows`` rows; workers keep only what ``owner`` keeps."""
 
     spark = df.sparkSession

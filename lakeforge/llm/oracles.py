@@ -19,7 +19,15 @@ def _words(x: str) -> str:
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 _LINES = "l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)"
 
-_PHRASES = " OR ".join(f"contains({_low('line')}, '{p}')" for p in quality.PHRASES)
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_PHRASES = " OR ".join(f"contains({_low('line')}, {_quoted(p)})" for p in quality.PHRASES)
+_LOUD = "regexp_extract_all(line, '[!?]{2,}')"
+_MENU = f"len(list_filter(list_transform({_words(_low('line'))}, lambda w: trim(w, '.,:;!?|')), lambda w: list_contains([{', '.join(map(_quoted, quality.MENU))}], w)))"
 
 OP1 = f"""
 WITH {_DOCS}, {_LINES},
@@ -27,8 +35,8 @@ w AS (SELECT doc_id, t, {_words("t")} AS ws FROM d),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, {quality.WINDOW})) AS k FROM twice) GROUP BY doc_id),
-judged AS (SELECT doc_id, line, len({_words("line")}) AS n, length(regexp_replace(line, '{_SPACE}', '', 'g')) AS visible, length(regexp_replace(line, '[^#*$%&<>!?=_~^]', '', 'g')) AS marks, length(line) - length(replace(line, '|', '')) AS bars, ({_PHRASES}) AS phrase FROM l),
-lines AS (SELECT *, n > 0 AND (100 * marks > {quality.MARK_PERCENT} * visible OR (bars >= {quality.NAV_BARS} AND 4 * bars >= n) OR phrase) AS bad FROM judged),
+judged AS (SELECT doc_id, line, len({_words("line")}) AS n, length(regexp_replace(line, '{_SPACE}', '', 'g')) AS visible, length(regexp_replace(line, '[^#*$%&<>=_~^]', '', 'g')) + CASE WHEN len({_LOUD}) >= {quality.LOUD} THEN length(array_to_string({_LOUD}, '')) ELSE 0 END AS marks, length(regexp_replace(line, '[^{quality.BARS}]', '', 'g')) AS bars, {_MENU} AS menu, regexp_matches(line, '[{quality.ENDS}]') AS ended, ({_PHRASES}) AS phrase FROM l),
+lines AS (SELECT *, n > 0 AND (100 * marks > {quality.MARK_PERCENT} * visible OR (n >= {quality.END_WORDS} AND NOT ended) OR (bars >= {quality.NAV_BARS} AND 4 * bars >= n) OR (n <= {quality.MENU_WORDS} AND menu >= 2 AND 2 * menu >= n) OR phrase) AS bad FROM judged),
 per AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, coalesce(sum(n) FILTER (bad), 0) AS lost, count(*) FILTER (bad) AS gone FROM lines GROUP BY doc_id),
 x AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, dup, coalesce(r.n, 0) AS rep, lost, gone FROM w JOIN per USING (doc_id) LEFT JOIN repeats AS r USING (doc_id)),
 y AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * rep > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM x)

@@ -47,6 +47,39 @@ def test_quality_cleans_line_first(spark):
     assert [r.text for r in quality.clean(docs.withColumn("n_chars", docs.doc_id)).collect()] == [prose]
 
 
+def slow_bad(line):
+    """Whether a line is bad, by regular expressions on characters."""
+    low = line.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))
+    words, visible = re.findall(r"[^\x20\x09-\x0D]+", low), re.sub(r"[\x20\x09-\x0D]", "", line)
+    loud = re.findall(r"[!?]{2,}", line)
+    marks = len(re.findall(r"[#*$%&<>=_~^]", line)) + (len("".join(loud)) if len(loud) >= 3 else 0)
+    bars = len(re.findall("[|»›•·→]", line))
+    menu = sum(w.strip(".,:;!?|") in quality.MENU for w in words)
+    return 100 * marks > 10 * len(visible) or (len(words) >= 8 and not re.search("[.!?:;…。！？]", line)) or (bars >= 3 and 4 * bars >= len(words)) or (len(words) <= 12 and menu >= 2 and 2 * menu >= len(words)) or any(p in low for p in quality.PHRASES)
+
+
+def test_quality_verdicts_match_brute_force(spark, sf, odd_docs):
+    """Lines that go, words lost, verdict and cleaned text, by other means than the operator's."""
+    for docs in (table(spark, sf, "documents"), odd_docs):
+        want = Counter()
+        for d in docs.collect():
+            text = d.text or ""
+            lines = text.split("\n")
+            full = [x for x in lines if re.search(r"[^\x20\x09-\x0D]", x)]
+            bad = [x for x in full if slow_bad(x)]
+            lost, (n, *_, failed) = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in bad), slow_quality(text)
+            want[d.doc_id, lost, len(bad), not failed and 2 * lost <= n, "\n".join(x for x in lines if x not in bad)] += 1
+        assert Counter((r.doc_id, r.n_lost_words, r.n_lost_lines, r.kept, r.cleaned.decode()) for r in quality.score(docs).collect()) == want
+
+
+def test_quality_judges_lines():
+    for line in ("Home | News | Shop | Help", "Startseite » Kontakt » Impressum » Suche", "Accueil, Connexion, Aide", "Inicio Contacto Ayuda", "Alle Rechte vorbehalten, 2020.", "Tous droits réservés.",
+                 "WHAT!! A!! DEAL!! TODAY!!", "one two three four five six seven eight", "### $$$ sale %%%"):
+        assert quality.bad_line(line.encode()) and slow_bad(line), line
+    for line in ("Really?!", "Short heading", "We went home.", "He asked: what next, and who will contact them about it?", "a | b", "Profit rose by 3% to $4 billion, they said."):
+        assert not quality.bad_line(line.encode()) and not slow_bad(line), line
+
+
 def slow_lines(docs):
     space = " \t\n\x0b\x0c\r"
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
