@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from lakeforge.llm import decontam, entries, hpylm, lshforest, packing, pii, warc
 from lakeforge.llm.common import Workspace, table
@@ -439,6 +440,85 @@ def test_pii_surrogates(spark, sf, odd_docs, no_docs):
     assert pii.digest(no_docs, Workspace(spark, "t")).count() == 0
 
 
+def slow_replace(text, table_):
+    """The text with surrogates, by another regular expression engine and plain Python."""
+    if text is None:
+        return None
+    patterns = {k: regex.compile(v) for k, v in pii.PATTERNS.items()}
+    title = regex.compile(rf"(?:{pii._TITLE})\.?[ ]")
+
+    def case(form, s):
+        return s.upper() if len(form) > 1 and form == form.upper() else "-".join(x[:1].upper() + x[1:] for x in s.split("-"))
+
+    def fill(form, s, take):
+        left = list(s)
+        return "".join(left.pop(0) if regex.match(take, c) else c for c in form)
+
+    matches = list(regex.finditer(pii.ENTITY, text))
+    words = {w.lower() for m in matches if title.match(m[0]) and "@" not in m[0] for w in m[0].split(" ")[1:]}
+    bare = lambda gap: regex.sub(rf"(?<!\p{{L}}){pii._NAME}", lambda m: case(m[0], table_["name", m[0].lower()]) if m[0].lower() in words else m[0], gap)
+    out, at = [], 0
+    for m in matches:
+        x = m[0]
+        kind = next(k for k in ("email", "name", "iban", "ipv6", "ip", "ssn", "card", "phone") if patterns[k].fullmatch(x))
+        out.append(bare(text[at : m.start()]))
+        digits = regex.sub("[^0-9]", "", x)
+        if kind == "name":
+            head = title.match(x)[0]
+            out.append(head + " ".join(case(w, table_["name", w.lower()]) for w in x[len(head) :].split(" ")))
+        elif kind == "email":
+            s = table_[kind, x.lower()]
+            out.append(s.upper() if x == x.upper() else s)
+        elif kind in ("ip", "ipv6"):
+            out.append(table_[kind, x.lower()])
+        elif kind == "iban":
+            out.append(fill(x, table_[kind, x.replace(" ", "")], "[^ ]"))
+        else:
+            out.append(fill(x, table_[kind, digits], "[0-9]"))
+        at = m.end()
+    return "".join([*out, bare(text[at:])])
+
+
+def test_pii_coreference_and_formats(spark, sf):
+    rows = [
+        (1, "Dr Jan Roth met us. Mr Jan Roth left. Later Roth said, and ROTH wrote; Jan too. Rothmann stayed. Prof. Ada Berg."),
+        (2, "Mrs Ada Berg, Dr Eva Lang and Mrs Eva Lang; Mr Jan. came."),
+        (3, "Tel. +33 1 23 45 67 89, 0612345678, 01 23 45 67 89, 030 1234567 or +49 (0) 30 123456; 2001:db8::1, fe80:0:0:0:1:2:3:4 and 10:30:15."),
+        (4, "jörg@exämple.de, иван@пример.рф and JO@X.ORG; 4111-1111-1111-1111; 078-05-1120 2024-01-31 3.14 0.123456789"),
+        (5, "Monsieur Jan Petit, Señora Ana Ruiz, κυρία Ελένη Νίκα, господин Иванов. Иванов ушёл."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in pii.replace(docs, Workspace(spark, "t")).collect()}
+    first = re.match(r"Dr (\S+) (\S+) met us\. Mr (\S+) (\S+) left\. Later (\S+) said, and (\S+) wrote; (\S+) too\. Rothmann stayed", text[1])
+    assert first and first[1] == first[3] == first[7] and first[2] == first[4] == first[5] == first[6].title() and "Roth " not in text[1]
+    assert first[1].lower().split("-")[0] in {x.lower() for x in pii.GIVEN["latin_m"]}  # a title elsewhere tells
+    assert re.search(r"Dr (\S+) (\S+) and Mrs \1 \2; Mr (\S+) came", text[2])[3].rstrip(".") == first[1] and "Eva" not in text[2]
+    for x in ("23 45", "0612345678", "1234567", "123456;", "::1", "fe80"):
+        assert x not in text[3]
+    assert "10:30:15" in text[3] and all(x in text[4] for x in ("2024-01-31", "3.14", "0.123456789")) and "exämple" not in text[4] and "пример" not in text[4]
+    assert "Jan" not in text[5] and "Иванов" not in text[5] and "Νίκα" not in text[5]
+    for frame in (docs, table(spark, sf, "documents")):
+        found = pii.mentions(frame)
+        table_ = {(r.kind, r.canon): r.surrogate for r in pii.surrogates(found, Workspace(spark, "t")).collect()}
+        got = Counter((r.doc_id, r.text) for r in pii.replace(frame, Workspace(spark, "t")).collect())
+        assert got == Counter((r.doc_id, slow_replace(r.text, table_)) for r in frame.collect())
+
+
+def test_pii_where_a_space_is_full(spark):
+    """What no draw is left for changes places in a ring."""
+    docs = spark.createDataFrame([(i, f"a {i:03d}-45-6789 b") for i in range(1, 300)], "doc_id long, text string")
+    rows = pii.surrogates(pii.mentions(docs), Workspace(spark, "t"), attempts=1).collect()
+    assert len(rows) == len({r.surrogate for r in rows}) == 299 and all(r.canon != r.surrogate for r in rows)
+    full = spark.createDataFrame([("ip", f"1.1.1.{k}", f"1.1.1.{k}", "e", "") for k in range(200)], "kind string, canon string, form string, gender string, role string")
+    before = pii._draw
+    try:
+        pii._draw = lambda attempt, key: "concat('1.1.1.', length(canon))"
+        rows = pii.surrogates(full, Workspace(spark, "t"), attempts=2).collect()
+    finally:
+        pii._draw = before
+    assert len(rows) == len({r.surrogate for r in rows}) == 200 and all(r.canon != r.surrogate for r in rows)
+
+
 def test_language_model_learns_whole_contexts(spark):
     """Words after two contexts with the same ending are told apart."""
     rows = [(i, "red xbat moon green ybat sun " * 5) for i in range(40)] + [(1000 + i, "xbat moon ybat sun") for i in range(40)] + [(2000 + i, "xbat sun ybat moon") for i in range(40)]
