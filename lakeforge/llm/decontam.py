@@ -9,9 +9,10 @@ A benchmark item of n words is looked for in every window of n words of every do
    bound for unequal sizes, both >= p / (1 + p) * (m + the item's shingles).
 2. The others get a SimHash of BITS bits: each bit is the sign of the sum, over the window's
    shingles as often as they occur, of that bit of the shingle's hash as +1 or -1.
-3. The items' fingerprints are indexed by BLOCKS blocks of BITS / BLOCKS bits, each under its own
-   value and all values one bit away. Two fingerprints within RADIUS = 2 * BLOCKS - 1 bits have a
-   block that differs in one bit at most, so the index returns every item within the radius.
+3. The items' fingerprints are indexed by BLOCKS blocks of BITS / BLOCKS bits. A window asks each block for its own
+   value and all values up to FLIPS bits away. Two fingerprints within RADIUS = (FLIPS + 1) * BLOCKS - 1 bits have a
+   block that differs in FLIPS bits at most, so the index returns every item within the radius: it is what
+   says which items a window may hold.
 4. Items within the radius are confirmed by the weighted Jaccard similarity of the shingle counts.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES of text; each block is a pass over the
@@ -39,10 +40,13 @@ from .common import SHINGLE, batch_words, keep, map_arrow, mix64, text_bytes, te
 
 PERCENT = 75
 BITS, BLOCKS = 128, 16
-RADIUS = 2 * BLOCKS - 1
+FLIPS = 2
+RADIUS = (FLIPS + 1) * BLOCKS - 1
 BLOCK_BYTES = 16 << 20
 
 _FACTORS = mix64(np.arange(SHINGLE), 23) | np.uint64(1)
+#: What a block's value is changed by to reach all values up to FLIPS bits away.
+_FLIPS = np.array([x for x in range(1 << BITS // BLOCKS) if x.bit_count() <= FLIPS], np.int64)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -93,9 +97,8 @@ class Index:
             self.prints.append(fp)
             by_length.setdefault(n, []).append(s)
             for block, value in enumerate(fp.tolist()):
-                for v in (value, *(value ^ 1 << bit for bit in range(8))):
-                    keys.append(self._key(n, block, v))
-                    values.append(k)
+                keys.append(self._key(n, block, value))
+                values.append(k)
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         self.lengths = {n: np.unique(np.concatenate(x)) for n, x in sorted(by_length.items())}
@@ -122,9 +125,9 @@ class Index:
 
     def within(self, n: int, fp: np.ndarray) -> set[int]:
         """The items of n words whose fingerprints are within RADIUS."""
-        keys = np.array([self._key(n, b, v) for b, v in enumerate(fp.tolist())], np.int64)
+        keys = np.concatenate([self._key(n, b, 0) | (v ^ _FLIPS) for b, v in enumerate(fp.tolist())])
         lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        near = {int(k) for a, b in zip(lo, hi, strict=True) for k in self.values[a:b]}
+        near = {int(k) for a, b in zip(lo, hi, strict=True) if a < b for k in self.values[a:b]}
         return {k for k in near if int(np.unpackbits(fp ^ self.prints[k]).sum()) <= RADIUS}
 
     def find(self, h: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -244,8 +247,10 @@ def matches(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataF
 
 
 def clean(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no item is found, in the columns of ``docs``."""
-    spark = docs.sparkSession
+    """The documents in which no item is found, in the columns of ``docs``, which are carried in a struct and may have any name."""
+    spark, columns = docs.sparkSession, docs.columns
+    docs = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"))
+    shape = docs.schema
     for block in blocks(items, most):
         sent = _Sent(spark.sparkContext.broadcast(block))
 
@@ -253,9 +258,8 @@ def clean(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFra
             index = _index(sent)
             for b in batches:
                 clear = np.ones(b.num_rows, bool)
-                clear[np.array([k for k, *_ in index.find_all(b.column(b.num_columns - 1))], np.int64)] = False
-                yield b.select(range(b.num_columns - 1)).filter(pa.array(clear, pa.bool_()))
+                clear[np.array([k for k, *_ in index.find_all(b.column(1))], np.int64)] = False
+                yield b.select([0]).filter(pa.array(clear, pa.bool_()))
 
-        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        docs = map_arrow(docs.select("*", text_string().alias("__text")), run, shape, owner="decontam")
-    return docs
+        docs = map_arrow(docs.select("row", text_string("row.text").alias("text")), run, shape, owner="decontam")
+    return docs.select("row.*")
