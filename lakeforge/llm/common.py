@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a new local folder is set.
+    Where the session names none, as in tests on one machine, a new local folder is set; on a cluster that is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeforge-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -62,7 +65,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     package = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="lakeforge-")) / f"{package.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lakeforge-")  # code only; Spark copies it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    at = Path(folder) / f"{package.name}.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -73,15 +78,33 @@ class Workspace:
     """Tables that cut a plan's lineage, written below the shared folder.
 
     A written table outlives the executors that made it. ``drop`` frees a table that no
-    later step reads; what is left goes when the Python process ends.
+    later step reads, ``close`` all of them; what is left goes when the Python process ends.
     """
 
+    #: Those not closed yet.
+    opened: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lakeforge-{label}-{uuid.uuid4().hex}"
+        self.others: list[str] = []
+        self.opened.append(self)
         atexit.register(self.close)
 
+    def checkpoint(self, df: DataFrame) -> DataFrame:
+        """``df.checkpoint()``, which keeps partitions and their order; its files go with this workspace, or by ``drop_checkpoints``."""
+        shared_dir(self.spark)
+        out = df.checkpoint()
+        at = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            self.others.append(at.get())
+        return out
+
+    def drop_checkpoints(self) -> None:
+        while self.others:
+            _delete(self.spark, self.others.pop())
+
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """The table, written and read again; ``by`` makes a folder for each value of that column."""
         at = f"{self.path}/{name}"
@@ -95,8 +118,11 @@ class Workspace:
 
     def close(self) -> None:
         try:
-            if self.spark.sparkContext._jsc is not None:
-                _delete(self.spark, self.path)
+            if self in self.opened:
+                self.opened.remove(self)
+                if self.spark.sparkContext._jsc is not None:
+                    self.drop_checkpoints()
+                    _delete(self.spark, self.path)
         except Exception:  # the session has ended, and with it the right to its files
             pass
 

@@ -14,7 +14,8 @@ those of the largest doc_id that holds them.
 
 Null or empty text is one empty line. Rows with equal doc_id and text are one document and get
 the same bitmap; rows with equal doc_id and unequal text count as one document when documents
-are counted. A null doc_id is one document, smaller than all others.
+are counted. A null doc_id is one document, smaller than all others. Ids are integers. Other columns are carried in a
+struct and may have any name.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Workspace, map_arrow, shared_dir, text_bytes
+from .common import Workspace, map_arrow, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -195,9 +197,8 @@ def dropped_lines(docs: DataFrame, ws: Workspace, *, min_docs: int = MIN_DOCS, m
     hashes = ws.write(line_hashes(docs, min_chars), "hashes")
     runs = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last(), F.col("version"), F.col("pos")]
-    # checkpoint() keeps the partitions and their order, so both passes see the same sorted runs.
-    shared_dir(spark)
-    runs_at = hashes.repartitionByRange(runs, *order).sortWithinPartitions(*order).checkpoint()
+    # A checkpoint keeps the partitions and their order, so both passes see the same sorted runs.
+    runs_at = ws.checkpoint(hashes.repartitionByRange(runs, *order).sortWithinPartitions(*order))
     ws.drop("hashes")
     edges = runs_at.mapInArrow(_edges, _EDGES).collect()  # one row a run
     return runs_at.mapInArrow(_drops(_carry(edges), min_docs), _DROPS)
@@ -231,12 +232,14 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[int, list[bytes]]:
 
 
 def _with_bitmaps(docs: DataFrame, ws: Workspace, others: list[str], rules: dict) -> DataFrame:
+    """(id, body, bitmap, row) of each document, row with the columns of ``others``."""
     maps = ws.write(keep_bitmaps(docs, ws, **rules), "bitmaps")
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "bitmap")
-    rows = docs.select("doc_id", *others, text_bytes().alias("_body"), F.xxhash64("text").alias("_own"))
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
+    ws.drop_checkpoints()
+    row = F.struct(*(docs[c] for c in others)) if others else F.lit(None).cast("int")
+    rows = docs.select(F.col("doc_id").alias("id"), text_bytes().alias("body"), F.xxhash64("text").alias("own"), row.alias("row"))
+    met = F.col("id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("version"))
     # Both sides grow with the corpus, so neither is ever broadcast.
-    return rows.join(maps.hint("merge"), met, "left").select("doc_id", *others, "_body", "bitmap")
+    return rows.join(maps.hint("merge"), met, "left").select("id", "body", "bitmap", "row")
 
 
 def digest(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
@@ -253,20 +256,20 @@ def digest(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     joined = _with_bitmaps(docs, ws, [], rules)
-    return map_arrow(joined, run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+    return map_arrow(joined, run, f"doc_id {joined.schema['id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
     """The documents with only the lines that stay, n_chars to match, in the columns of ``docs``."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    joined = _with_bitmaps(docs, ws, others, rules)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_body", "bitmap"))
+    joined = _with_bitmaps(docs, ws, [c for c in docs.columns if c != "text"], rules)
+    shape = StructType([joined.schema["row"], StructField("text", BinaryType())])
 
     def run(batches):
         for b in batches:
-            k = b.num_columns - 2
-            stay = [b"\n".join(kept_lines(t, m)[1]) for t, m in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(stay, pa.binary())], [*b.schema.names[:k], "text"])
+            stay = [b"\n".join(kept_lines(t, m)[1]) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(stay, pa.binary())], ["row", "text"])
 
-    done = map_arrow(joined, run, shape + ", text binary").withColumn("text", F.col("text").cast("string"))
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    done = map_arrow(joined, run, shape)
+    text = F.col("text").cast("string")
+    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return done.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns))
