@@ -38,7 +38,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secrets.digest(table(spark, sf_dir, "documents"), Workspace(spark, "secrets"))
 
 
 def op8_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@
    trigrams that any match must hold (``trigram_query``); classes and repeats that don't pin
    letters down add nothing, and a rule left without trigrams is scanned on every text.
 2. ``postings`` is the inverted index: one row (trigram, document) for each trigram of the
-   rules that a text holds, letters in lower case.
-3. ``candidates`` intersects and unites the postings as the queries say.
-4. Candidates alone are verified with the expressions themselves, over whole texts.
+   rules that a text holds, letters in lower case, found in one pass over the text. It is a written table.
+3. ``candidates`` intersects and unites the postings as the queries say, in a table of its own.
+4. Candidates alone are verified with the expressions themselves, over whole texts. Spark joins the candidates
+   to the texts by the size of their table: sent to the texts' tasks while it is below
+   spark.sql.autoBroadcastJoinThreshold, by a shuffle beyond.
 
 A document is known by its doc_id and a hash of its text, so repeated rows share their postings
 and each gets its own result row. Null text counts as empty, a null doc_id as a value of its
@@ -23,6 +25,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,6 +57,7 @@ RULES = BASE + MORE
 #: A query is ANY (no trigram is sure), a trigram, or ("and" | "or", queries).
 ANY = None
 _SET_MOST, _CLASS_MOST = 64, 6
+CHUNK = 256
 
 
 def _all(queries: list) -> object:
@@ -131,11 +136,29 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_version")]
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A regular expression that finds the trigrams, in either case, at every place of a text; those that begin alike are tried together."""
+
+    def char(c: str) -> str:
+        return f"[{c}{c.upper()}]" if c.isalpha() else re.escape(c)
+
+    def tails(rest: list[str]) -> str:
+        if rest == [""]:
+            return ""
+        heads = sorted({t[0] for t in rest})
+        parts = [char(h) + tails([t[1:] for t in rest if t[0] == h]) for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    firsts = "".join(sorted({x for t in trigrams for x in {t[0], t[0].upper()}}))
+    return f"(?=[{re.escape(firsts)}])(?=({tails(trigrams)}))"
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(_id, _version, trigram): the inverted index of the given trigrams, each by its place in the list."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))), lambda x: x.isNotNull())
-    return docs.select(*_key(docs), F.explode(held).alias("trigram"))
+    found = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_any_of(trigrams)), F.lit(1))
+    held = F.array_distinct(F.transform(F.array_distinct(found), F.lower))
+    place = F.array_position(F.array(*map(F.lit, trigrams)), F.col("held")).cast("int") - 1
+    return docs.select(*_key(docs), F.explode(held).alias("held")).select("_id", "_version", place.alias("trigram"))
 
 
 def _holds(query: object, place: dict[str, int]) -> Column:
@@ -164,25 +187,31 @@ def _spans(rule: Rule, rank: int) -> str:
     found = f"regexp_extract_all(_text, {quoted}, 0)"
     value = f"regexp_extract_all(_text, {quoted}, {rule.value})" if rule.value else found
     none = "cast(array() as array<struct<start: int, rank: int, end: int>>)"
-    # The pieces between matches and the matches themselves give the offsets, in code points.
-    walk = (
-        f"aggregate(arrays_zip(transform(slice(split(_text, {quoted}, -1), 1, size({found})), x -> char_length(x)), transform({found}, x -> char_length(x)), transform({value}, x -> char_length(x))),"
-        f" named_struct('at', 0, 'out', {none}),"
+    # The pieces between matches and the matches themselves give the offsets, in code points. They are added up CHUNK
+    # matches at a time, so that the work doesn't grow with the square of a text's matches.
+    pieces = f"arrays_zip(transform(slice(split(_text, {quoted}, -1), 1, size({found})), x -> char_length(x)), transform({found}, x -> char_length(x)), transform({value}, x -> char_length(x)))"
+    chunks = f"transform(sequence(0, (size(m) - 1) div {CHUNK}), k -> slice(m, k * {CHUNK} + 1, {CHUNK}))"
+    ends = "transform(c, x -> aggregate(x, 0, (a, y) -> a + y.`0` + y.`1`))"
+    begins = f"aggregate({ends}, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x, 'out', array_append(a.out, a.at)), a -> a.out)"
+    inner = (
+        f"aggregate(p, named_struct('at', b, 'out', {none}),"
         f" (a, x) -> named_struct('at', a.at + x.`0` + x.`1`, 'out', if(x.`2` >= {rule.least}, array_append(a.out, named_struct('start', a.at + x.`0`, 'rank', {rank}, 'end', a.at + x.`0` + x.`1`)), a.out)),"
         f" a -> a.out)"
     )
+    walk = f"element_at(transform(array({pieces}), m -> element_at(transform(array({chunks}), c -> flatten(zip_with(c, {begins}, (p, b) -> {inner}))), 1)), 1)"
     # One look tells most texts apart; only texts with a match are walked.
     return f"if(_scan_{rule.kind} and rlike(_text, {quoted}), {walk}, {none})"
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find(docs: DataFrame, ws: Workspace, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and found, the rules' spans as array<struct<start, rank, end>> in order of start and rule."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not ANY}
     trigrams = sorted(set().union(*(trigrams_of(q) for q in indexed.values()))) if indexed else []
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.xxhash64("text").alias("_own"))
     if indexed:
-        hits = candidates(postings(docs, trigrams), indexed, trigrams)
+        index = ws.write(postings(docs, trigrams), "postings")
+        hits = ws.write(candidates(index, indexed, trigrams), "candidates")
         rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
     else:
         rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
@@ -198,8 +227,8 @@ def joined(found: str, rules: tuple[Rule, ...], most: int | None = None) -> Colu
     return F.expr(f"array_join(transform({chosen}, x -> concat(element_at({names}, x.rank + 1), ':', x.start, ':', x.end)), ',')")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    found = find(docs)
+def digest(docs: DataFrame, ws: Workspace) -> DataFrame:
+    found = find(docs, ws)
     count = lambda k: F.expr(f"cast(size(filter(found, x -> x.rank = {k})) as bigint)")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("found", RULES, len(BASE)), 256).alias("base_sha256"), joined("found", RULES).alias("spans"))
 

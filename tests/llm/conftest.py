@@ -2,7 +2,12 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, _text string, version int"
+#: Names that the operators use inside.
+CLASHES = (
+    "_text version kept cleaned n_words word_chars base_failed n_lost_words bitmap id own body row _id _own _body _version _first __text _new found words first none cid root "
+    "held_out size block shard seq slot place kind canon s o new region deep n h u w dest frm blob ids label page_id digest refers_to item_id similarity wordless component_id"
+).split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, " + ", ".join(f"`{x}` int" for x in CLASHES)
 LINE = "This line is shared by many documents, it is."
 
 
@@ -35,7 +40,7 @@ def odd_rows():
         (14, "a | b | c | d | e\n" * 5),
         (15, "### $$$ %%% word &&&"),
     ]
-    return [(i, t, "en", "s", len(t or ""), "x", "y", 1) for i, t in texts]
+    return [(i, t, "en", "s", len(t or ""), "x", *range(len(CLASHES))) for i, t in texts]
 
 
 @pytest.fixture(scope="session")

@@ -64,6 +64,8 @@ def test_near_duplicates_match_brute_force(spark, sf, odd_docs, no_docs):
     assert got_components(entries.op9_minhash_lsh_forest(spark, sf).collect()) == slow_components([(r.doc_id, r.text) for r in docs.collect()])
     assert got_components(lshforest.cluster(odd_docs, Workspace(spark, "t")).collect()) == slow_components([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert lshforest.cluster(no_docs, Workspace(spark, "t")).count() == 0
+    lone = spark.createDataFrame([(None, "a b c d e f g h"), (None, "A B C D E F G H"), (None, "x y"), (1, "x  y"), (2, "z")], "doc_id long, text string")
+    assert Counter(r.doc_id for r in lshforest.dedup(lone, Workspace(spark, "t")).collect()) == {None: 1, 1: 1, 2: 1}
     kept = lshforest.dedup(odd_docs, Workspace(spark, "t"))
     assert kept.where("doc_id is null").count() == 1  # the other null id resembles document 2
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.where("doc_id in (2, 9, 10)").collect()) == [2, 9]
@@ -142,7 +144,7 @@ def test_edited_passages_are_found(spark):
         docs.append((i, " ".join([word() for _ in range(50)] + text + [word() for _ in range(50)])))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want, got = slow_matches(docs, items), {(r.doc_id, r.item_id) for r in decontam.matches(d, b).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 20
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 20
 
 
 def test_index_returns_all_within_the_radius():
@@ -218,18 +220,22 @@ def slow_warc(pages):
     return out
 
 
-@pytest.mark.parametrize("roll", [2000, 1 << 28])
-def test_warc_round_trip(spark, sf, roll):
+@pytest.mark.parametrize("roll, least", [(2000, 1 << 23), (1 << 28, 3000)])
+def test_warc_round_trip(spark, sf, roll, least):
     odd = [(1, "u", "a"), (2, "http://x/é \r\n", "a"), (3, None, None), (4, "u", ""), (5, "u", "b" * 90000), (5, "u", "b" * 90000), (5, "v", "c"), (None, "u", "c"), (None, "w", "only"), (None, "w", "only"), (9, "u", "\r\n\r\nWARC/1.1\r\n\x00")]
     for pages in (table(spark, sf, "pages"), spark.createDataFrame([(*r, "x", 0) for r in odd], "page_id long, url string, html string, digest string, kind int")):
         ws = Workspace(spark, "t")
-        out, manifest = warc.write(pages, ws, roll=roll, slice_bytes=1000)
+        out, manifest = warc.write(pages, ws, roll=roll, slice_bytes=1000, least=least)
         rows = warc.read(spark, out, manifest, payloads=True).collect()
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == slow_warc([(r.page_id, r.html) for r in pages.collect()])
         assert all(r.payload == b"" or hashlib.sha1(r.payload).digest() == base64.b32decode(r.payload_digest) for r in rows)
-        again, other = warc.write(pages, Workspace(spark, "t"), roll=roll, slice_bytes=1000)
+        assert Counter((r.page_id, r.url) for r in rows) == Counter((r.page_id, r.url) for r in pages.collect())
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        again, other = warc.write(pages.repartition(13), Workspace(spark, "t"), roll=roll, slice_bytes=1000, least=least)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
         files = lambda at: {f.name: f.read_bytes() for f in __import__("pathlib").Path(at.removeprefix("file:")).glob("*.gz")}
-        assert files(out) == files(again) and (roll > 2000 or len(files(out)) > 1)
+        assert files(out) == files(again) and len(files(out)) > 1
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, *warc.write(empty, Workspace(spark, "t"))).count() == 0
 
