@@ -53,7 +53,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = list(Workspace.opened)
         docs = ws.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        for scratch in [x for x in Workspace.opened if x not in before]:
+            scratch.close()  # the stage's own tables
         if k:
             ws.drop(f"stage-{k - 1}")
     return docs
