@@ -263,4 +263,5 @@ def read(spark, out: str, manifest: DataFrame, *, payloads: bool = False) -> Dat
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *(["payload"] if payloads else [])]
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload binary" if payloads else "")
-    return manifest.select("file", "at", "length").repartition("file", "at").mapInArrow(run, shape)
+    tasks = max(1, -(-manifest.count() // 4))  # a few slices each
+    return manifest.select("file", "at", "length").repartition(tasks, "file", "at").mapInArrow(run, shape)
