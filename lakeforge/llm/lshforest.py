@@ -8,8 +8,8 @@ words is a single shingle. Two documents are linked if 100 * |A & B| >= 75 * |A
 2. Each class has a signature of TREES * DEPTH MinHash values. The forest is TREES sorted orders
    of the classes: order t sorts by the signature read from value t * DEPTH on, around.
 3. Classes that share at least DEPTH leading values in an order form a region. A class's candidates are
-   its predecessor in the order, which shares the longest prefix with it, and the first class of each
-   deeper prefix that the two share: down to DEEP further values, as deep as the class has company.
+   its predecessor in the order, which shares the longest prefix with it, and the first class of
+   that prefix, up to DEEP further values deep: as deep as the class has company.
    In a region of up to WIDE classes all meet.
 4. Candidates whose sketches (a byte of each MinHash value) agree in ALIKE places or more are
    confirmed on full shingle sets: first each class with the least of its candidates, which in a
@@ -152,7 +152,7 @@ def _neighbours(batches):
                 prefixes, heads = mine, [(c, n)] * (DEEP + 1)
                 continue
             shared = next((k for k in range(DEEP + 1) if mine[k] != prefixes[k]), DEEP + 1)
-            others = {x[0]: x[1] for x in (before, *heads[:shared])}
+            others = {x[0]: x[1] for x in (before, heads[shared - 1])}
             if not wide:
                 # Few members: all of them meet.
                 others |= {oc: on for _, oc, on in open_rows}
