@@ -141,6 +141,8 @@ def _string(template: str, kind: Kind = STR) -> Callable:
 
 def _substring(s: Sql, o: Sql, n: Sql | None = None) -> Sql:
     _want(s, "substring", "str")
+    if o.text.isdigit() and o.text != "0" and (n is None or n.text.isdigit()):
+        return Sql(f"substring({s.text}, {o.text}{', ' + n.text if n else ''})", STR)
     size = f"char_length({s.text})"
     start = f"least(greatest(CASE WHEN {o.text} > 0 THEN {o.text} - 1 WHEN {o.text} = 0 THEN 0 ELSE {size} + {o.text} END, 0), {size})"
     if n is None:
@@ -149,6 +151,15 @@ def _substring(s: Sql, o: Sql, n: Sql | None = None) -> Sql:
     return Sql(f"substring({s.text}, CAST({start} AS INT) + 1, CAST({length} AS INT))", STR)
 
 
+REPEAT_BYTES = 16 << 20
+
+
+def _repeat(s: Sql, n: Sql) -> Sql:
+    _want(s, "repeat", "str")
+    size = f"CAST(octet_length({s.text}) AS DECIMAL(20,0)) * greatest({n.text}, 0)"
+    return Sql(f"CASE WHEN {size} > {REPEAT_BYTES} THEN raise_error('repeat: the result is longer than 16 MiB') ELSE repeat({s.text}, CAST(greatest({n.text}, 0) AS INT)) END", STR)
+
+
 def _pad(name: str) -> Callable:
     def build(s: Sql, n: Sql, p: Sql | None = None) -> Sql:
         pad = f"CASE WHEN {p.text} = '' THEN ' ' ELSE {p.text} END" if p else "' '"
@@ -167,22 +178,51 @@ def to_string(x: Sql) -> Sql:
     return Sql(f"CAST({x.text} AS STRING)", STR)
 
 
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _whole(d: str, low: int, high: int, spark: str) -> str:
+    """A double cut toward zero; NaN is 0, and what doesn't fit becomes the nearest bound."""
+    top, bottom = (f"CAST({x} AS {spark})" for x in (high, low))
+    return f"CASE WHEN isnan({d}) THEN CAST(0 AS {spark}) WHEN {d} >= {float(high)!r}D THEN {top} WHEN {d} <= {float(low)!r}D THEN {bottom} ELSE CAST(CASE WHEN {d} < 0 THEN ceil({d}) ELSE floor({d}) END AS {spark}) END"
+
+
 def _to_int(bits: int, signed: bool) -> Callable:
+    """Integers wrap around at the type's width; fractions are cut and saturate."""
+    low, high = (-(1 << (bits - 1)), (1 << (bits - 1)) - 1) if signed else (0, (1 << bits) - 1)
+    wide = "BIGINT" if signed or bits < 64 else "DECIMAL(20,0)"
+
+    def wrapped(base: str) -> str:
+        if bits == 64:
+            if signed:
+                return f"CAST({base} AS BIGINT)"
+            return f"CAST(CASE WHEN {base} < 0 THEN CAST({base} AS DECIMAL(21,0)) + {1 << 64} ELSE {base} END AS DECIMAL(20,0))"
+        if signed:
+            return f"(pmod({base} + {1 << (bits - 1)}, {1 << bits}) - {1 << (bits - 1)})"
+        return f"pmod({base}, {1 << bits})"
+
     def build(x: Sql) -> Sql:
         if x.kind.family == "str":
-            base = f"coalesce(try_cast({x.text} AS BIGINT), CAST(try_cast({x.text} AS DOUBLE) AS BIGINT))"
-        elif x.kind == DATE:
+            whole = f"try_cast({x.text} AS BIGINT)"
+            d = f"try_cast({x.text} AS DOUBLE)"
+            fraction = f"CASE WHEN {d} IS NULL OR isnan({d}) OR abs({d}) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE {_whole(d, low, high, wide)} END"
+            return Sql(f"coalesce({wrapped(whole)}, {fraction})", INT)
+        if x.kind.family == "float":
+            d = as_double(x)
+            if bits == 64:
+                return Sql(_whole(d, low, high, wide), INT)
+            return Sql(wrapped(f"({_whole(d, *_LONG, 'BIGINT')})"), INT)
+        if x.kind == DATE:
             base = f"CAST(unix_date({x.text}) AS BIGINT)"
         elif x.kind == TS:
             base = f"unix_timestamp({x.text})"
+        elif x.kind.family == "dec":
+            base = f"CAST({x.text} AS BIGINT)"
+        elif bits == 64 and not signed:
+            base = number(x)  # a UInt64 may not fit a long
         else:
             base = as_long(x) if x.kind.family != "bool" else number(x)
-        if bits == 64:
-            return Sql(f"CAST({base} AS BIGINT)", INT)
-        wrapped = f"pmod({base}, {1 << bits})"
-        if signed:
-            wrapped = f"(pmod({base} + {1 << (bits - 1)}, {1 << bits}) - {1 << (bits - 1)})"
-        return Sql(wrapped, INT)
+        return Sql(wrapped(base), INT)
 
     return build
 
@@ -233,8 +273,11 @@ def date_diff(unit: Sql, a: Sql, b: Sql) -> Sql:
         days = f"datediff({day.format(b.text)}, {day.format(a.text)})"
         return Sql(f"CAST({days} {'DIV 7' if u == 'week' else ''} AS BIGINT)", INT)
     seconds = {"second": 1, "minute": 60, "hour": 3600}[u]
-    at = "(unix_timestamp(CAST({} AS TIMESTAMP)) DIV %d)" % seconds
-    return Sql(f"({at.format(b.text)} - {at.format(a.text)})", INT)
+    # Cut down to the boundary, before 1970 too.
+    stamp = "unix_timestamp(CAST({} AS TIMESTAMP))"
+    at = "(({0} - pmod({0}, %d)) DIV %d)" % (seconds, seconds)
+    x, y = (at.format(stamp.format(v.text)) for v in (a, b))
+    return Sql(f"({y} - {x})", INT)
 
 
 def add_interval(x: Sql, n: Sql, unit: str, sign: int = 1) -> Sql:
@@ -326,7 +369,7 @@ SCALAR: dict[str, tuple[int, int | None, Callable]] = {
     "position": (2, 2, _string("CAST(instr({0}, {1}) AS BIGINT)", INT)),
     "splitbychar": (2, 2, lambda sep, s: Sql(f"CASE WHEN {sep.text} = '' THEN {s.text} ELSE split_part({s.text}, {sep.text}, 1) END", STR)),
     "reverse": (1, 1, _string("reverse({0})")),
-    "repeat": (2, 2, _string("repeat({0}, CAST(greatest({1}, 0) AS INT))")),
+    "repeat": (2, 2, _repeat),
     "leftpad": (2, 3, _pad("lpad")),
     "rightpad": (2, 3, _pad("rpad")),
     "like": (2, 2, _like("LIKE", False)),
@@ -434,24 +477,34 @@ def _fraction(p: list[str]) -> Decimal:
     return x
 
 
+def _sorted(x: Sql, d: str, body: str) -> str:
+    """``body``, in which v is the sorted values of the group: exact for all 18 digits of a decimal, where percentile goes by doubles."""
+    return f"element_at(transform(array(array_sort({'array_distinct' if d else ''}(collect_list({x.text})))), v -> {body}), 1)"
+
+
 def _quantile(a, p, d):
     kind = a[0].kind
     if kind.family == "dec":
         scale = max(kind.scale, 6)
-        return Sql(f"CAST(percentile({a[0].text}, {_fraction(p)}) AS DECIMAL(18,{scale}))", dec(scale))
-    return Sql(f"percentile({as_double(a[0])}, {_fraction(p)})", FLOAT)
+        at = f"({_fraction(p)} * (size(v) - 1))"
+        low, high = f"get(v, CAST(floor({at}) AS INT))", f"get(v, CAST(ceil({at}) AS INT))"
+        return Sql(f"CAST({_sorted(a[0], d, f'{low} + CAST(({high} - {low}) * ({at} - floor({at})) AS DECIMAL(38,{scale}))')} AS DECIMAL(18,{scale}))", dec(scale))
+    return Sql(f"percentile({d}{as_double(a[0])}, {_fraction(p)})", FLOAT)
 
 
 def _quantile_exact(a, p, d):
     # The value of rank floor(p * n) from below is the first from above that covers 1 - p.
     x = a[0]
-    text = f"percentile_disc({1 - _fraction(p)}) WITHIN GROUP (ORDER BY {as_double(x)} DESC)"
-    return Sql(f"CAST({text} AS DECIMAL(18,{x.kind.scale}))", x.kind) if x.kind.family == "dec" else Sql(text, FLOAT)
+    if x.kind.family == "dec" or d:
+        text = _sorted(x, d, f"get(v, CAST(least(floor({_fraction(p)} * size(v)), size(v) - 1) AS INT))")
+        return Sql(f"CAST({text} AS DECIMAL(18,{x.kind.scale}))", x.kind) if x.kind.family == "dec" else Sql(f"CAST({text} AS DOUBLE)", FLOAT)
+    return Sql(f"percentile_disc({1 - _fraction(p)}) WITHIN GROUP (ORDER BY {as_double(x)} DESC)", FLOAT)
 
 
 def _group_array(a, p, d):
     most = int(p[0]) if p else 10_000
-    items = f"slice(collect_list({to_string(a[0]).text}), 1, {most})"
+    every = f"collect_list({to_string(a[0]).text})"
+    items = f"slice({f'array_distinct({every})' if d else every}, 1, {most})"
     return Sql(f"CASE WHEN size({items}) > 0 THEN array_join({items}, ',') END", STR)
 
 
@@ -478,12 +531,12 @@ AGGREGATE: dict[str, Aggregate] = {
     "anylast": Aggregate(1, 1, _same("last", ", true")),
     "argmin": Aggregate(2, 2, lambda a, p, d: Sql(f"min_by({a[0].text}, {a[1].text})", a[0].kind)),
     "argmax": Aggregate(2, 2, lambda a, p, d: Sql(f"max_by({a[0].text}, {a[1].text})", a[0].kind)),
-    "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"coalesce(hll_sketch_estimate(hll_sketch_agg({_sketched(a[0])}, 14)), 0)", INT)),
-    "uniqexact": Aggregate(1, 1, lambda a, p, d: Sql(f"count(DISTINCT {a[0].text})", INT)),
-    "grouparray": Aggregate(1, 1, _group_array, parameters=1),
-    "quantile": Aggregate(1, 1, _quantile, parameters=1),
-    "quantileexact": Aggregate(1, 1, _quantile_exact, parameters=1),
-    "median": Aggregate(1, 1, _quantile),
+    "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"coalesce(hll_sketch_estimate(hll_sketch_agg({_sketched(a[0])}, 14)), 0)", INT), True),
+    "uniqexact": Aggregate(1, 1, lambda a, p, d: Sql(f"count(DISTINCT {a[0].text})", INT), True),
+    "grouparray": Aggregate(1, 1, _group_array, True, parameters=1),
+    "quantile": Aggregate(1, 1, _quantile, True, parameters=1),
+    "quantileexact": Aggregate(1, 1, _quantile_exact, True, parameters=1),
+    "median": Aggregate(1, 1, _quantile, True),
     "varpop": Aggregate(1, 1, _float("var_pop")),
     "varsamp": Aggregate(1, 1, _float("var_samp")),
     "stddevpop": Aggregate(1, 1, _float("stddev_pop")),

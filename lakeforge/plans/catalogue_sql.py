@@ -69,6 +69,50 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     "decimal_aggregates": ("SELECT l_returnflag, sum(l_extendedprice::Decimal(18,2)) AS s, avg(l_extendedprice::Decimal(18,2)) AS a FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_extendedprice::DECIMAL(18,2)) AS DECIMAL(18,2)) AS s, CAST(CAST((CAST(sum(l_extendedprice::DECIMAL(18,2)) * 1000000 AS HUGEINT) * 2 + 1 * count(*)) // (2 * count(*)) AS DECIMAL(24,0)) * 0.000001 AS DECIMAL(18,6)) AS a FROM lineitem GROUP BY l_returnflag"),
     "decimal_arithmetic": ("SELECT p_partkey, p_retailprice::Decimal(18,2) * 0.07 AS t, p_retailprice::Decimal(18,2) + 1.005 AS u, p_retailprice::Decimal(18,2) % 7 AS m FROM part", "SELECT p_partkey, CAST(p_retailprice::DECIMAL(18,2) * 0.07 AS DECIMAL(18,4)) AS t, CAST(p_retailprice::DECIMAL(18,2) + 1.005 AS DECIMAL(18,3)) AS u, CAST(p_retailprice::DECIMAL(18,2) % 7 AS DECIMAL(18,2)) AS m FROM part"),
+    "decimal_quantiles": (
+        "SELECT l_returnflag, quantileExact(0.9)(1234567890000000 + l_extendedprice::Decimal(18,2)) AS e, quantile(0.3)(123456789012 + l_extendedprice::Decimal(18,2)) AS q, median(l_quantity::Decimal(18,2)) AS m, quantileExactIf(l_tax::Decimal(18,2), l_quantity > 25) AS i FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, list_sort(list(1234567890000000 + l_extendedprice::DECIMAL(18,2)))[least(CAST(floor(0.9 * count(*)) AS INT), count(*) - 1) + 1] AS e, CAST(list_sort(list(123456789012 + l_extendedprice::DECIMAL(18,2)))[(3 * (count(*) - 1)) // 10 + 1] + CAST((list_sort(list(123456789012 + l_extendedprice::DECIMAL(18,2)))[((3 * (count(*) - 1)) + 9) // 10 + 1] - list_sort(list(123456789012 + l_extendedprice::DECIMAL(18,2)))[(3 * (count(*) - 1)) // 10 + 1]) * CAST((3 * (count(*) - 1)) % 10 AS DECIMAL(4,0)) * 0.1 AS DECIMAL(24,6)) AS DECIMAL(18,6)) AS q, CAST(median(l_quantity) AS DECIMAL(18,6)) AS m, list_sort(list(l_tax::DECIMAL(18,2)) FILTER (l_quantity > 25))[least(CAST(floor(0.5 * count(*) FILTER (l_quantity > 25)) AS INT), count(*) FILTER (l_quantity > 25) - 1) + 1] AS i FROM lineitem GROUP BY l_returnflag",
+    ),
+    "distinct_quantiles": (
+        "SELECT p_brand, quantile(0.5)(DISTINCT p_size) AS q, median(DISTINCT p_size) AS m, quantileExact(0.25)(DISTINCT p_size) AS e, uniqExact(DISTINCT p_size) AS u, groupArray(DISTINCT p_brand) AS g, uniq(DISTINCT p_brand) AS n FROM part GROUP BY p_brand",
+        "WITH d AS (SELECT DISTINCT p_brand, p_size FROM part) SELECT p_brand, quantile_cont(p_size, 0.5) AS q, median(p_size) AS m, CAST(list_sort(list(p_size))[least(CAST(floor(0.25 * count(*)) AS INT), count(*) - 1) + 1] AS DOUBLE) AS e, count(*) AS u, p_brand AS g, 1 AS n FROM d GROUP BY p_brand",
+    ),
+    "more_if_combinators": (
+        "SELECT l_returnflag, round(varPopIf(l_quantity, l_tax > 0.02), 6) AS vp, round(varSampIf(l_quantity, l_tax > 0.02), 6) AS vs, round(stddevPopIf(l_quantity, l_tax > 0.02), 6) AS sp, round(stddevSampIf(l_quantity, l_tax > 0.02), 6) AS ss, quantileExactIf(0.75)(l_quantity, l_tax > 0.02) AS qe, argMinIf(l_returnflag, l_orderkey, l_tax > 0.02) AS am, anyIf(l_returnflag, l_tax > 0.02) AS an, anyLastIf(l_returnflag, l_tax > 0.02) AS al, groupArrayIf(1)(l_returnflag, l_tax > 0.02) AS ga FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, round_even(var_pop(l_quantity) FILTER (l_tax > 0.02), 6) AS vp, round_even(var_samp(l_quantity) FILTER (l_tax > 0.02), 6) AS vs, round_even(stddev_pop(l_quantity) FILTER (l_tax > 0.02), 6) AS sp, round_even(stddev_samp(l_quantity) FILTER (l_tax > 0.02), 6) AS ss, list_sort(list(l_quantity) FILTER (l_tax > 0.02))[least(CAST(floor(0.75 * count(*) FILTER (l_tax > 0.02)) AS INT), count(*) FILTER (l_tax > 0.02) - 1) + 1] AS qe, l_returnflag AS am, l_returnflag AS an, l_returnflag AS al, l_returnflag AS ga FROM lineitem GROUP BY l_returnflag",
+    ),
+    "arithmetic_functions": (
+        "SELECT p_partkey, negate(p_size) AS a, plus(p_size, 2) AS b, minus(p_size, 60) AS c, multiply(p_size, 3) AS d, divide(p_size, 4) AS e, divide(p_size, 0) AS z, ceiling(p_retailprice) AS f, round(log(p_size), 9) AS g, power(p_size, 3) AS h FROM part",
+        "SELECT p_partkey, -p_size AS a, p_size + 2 AS b, p_size - 60 AS c, p_size * 3 AS d, p_size / 4 AS e, NULL::DOUBLE AS z, ceil(p_retailprice) AS f, round_even(ln(p_size), 9) AS g, pow(p_size, 3) AS h FROM part",
+    ),
+    "more_string_functions": (
+        "SELECT p_partkey, character_length(p_name) AS a, trimBoth(concat('  ', p_name, ' ')) AS b, trimLeft(concat('  ', p_brand)) AS c, rtrim(concat(p_brand, '  ')) AS d, repeat(p_brand, 2) AS e, repeat(p_brand, -1) AS f FROM part",
+        "SELECT p_partkey, CAST(length(p_name) AS BIGINT) AS a, trim(p_name) AS b, p_brand AS c, p_brand AS d, p_brand || p_brand AS e, '' AS f FROM part",
+    ),
+    "wide_conversions": (
+        "SELECT n_nationkey, toInt64(1e30) AS a, toInt64(-1e30) AS b, toUInt64(n_nationkey - 3) AS c, toUInt64(-2.5e0) AS d, toUInt64('18446744073709551615') IS NULL AS e, toInt32(3e9) AS f, toUInt32(4294967297) AS g, toInt64('1e30') AS h, toInt64('-7.9') AS i, toInt64('nan') AS j, toInt64(-12.9) AS k FROM nation",
+        "SELECT n_nationkey, 9223372036854775807 AS a, CAST('-9223372036854775808' AS BIGINT) AS b, CASE WHEN n_nationkey < 3 THEN 18446744073709551616::HUGEINT + n_nationkey - 3 ELSE (n_nationkey - 3)::HUGEINT END AS c, 0 AS d, false AS e, 3000000000 - 4294967296 AS f, 1 AS g, 9223372036854775807 AS h, -7 AS i, NULL::BIGINT AS j, -12 AS k FROM nation",
+    ),
+    "more_date_shifts": (
+        "SELECT o_orderkey, addMinutes(o_orderdate, 90) AS a, addWeeks(toDate(o_orderdate), 3) AS b, addQuarters(toDate(o_orderdate), 2) AS c, subtractSeconds(o_orderdate, 5) AS d, subtractHours(o_orderdate, 30) AS e, subtractDays(toDate(o_orderdate), 9) AS f, subtractMonths(toDate(o_orderdate), 1) AS g, subtractYears(toDate(o_orderdate), 1) AS h FROM orders",
+        "SELECT o_orderkey, o_orderdate + INTERVAL 90 MINUTE AS a, CAST(o_orderdate AS DATE) + 21 AS b, CAST(CAST(o_orderdate AS DATE) + INTERVAL 6 MONTH AS DATE) AS c, o_orderdate - INTERVAL 5 SECOND AS d, o_orderdate - INTERVAL 30 HOUR AS e, CAST(o_orderdate AS DATE) - 9 AS f, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS g, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS h FROM orders",
+    ),
+    "differences_before_1970": (
+        "SELECT n_nationkey, date_diff('hour', toDateTime('1969-12-31 23:30:00'), toDateTime('1970-01-01 00:30:00')) AS h, date_diff('minute', toDateTime('1969-12-31 23:59:30'), toDateTime('1970-01-01 00:00:30')) AS m, date_diff('second', toDateTime('1969-12-31 23:59:30'), toDateTime('1970-01-01 00:00:30')) AS s, dateDiff('hour', toDateTime('1960-01-01 05:59:59'), toDateTime('1960-01-01 06:00:00')) AS o FROM nation",
+        "SELECT n_nationkey, 1 AS h, 1 AS m, 60 AS s, 1 AS o FROM nation",
+    ),
+    "now_and_random": (
+        "SELECT n_nationkey, now() >= toDateTime('2024-01-01 00:00:00') AS a, today() >= toDate('2024-01-01') AS b, toDate(now()) = today() AS c, rand64() >= 0 AS d FROM nation",
+        "SELECT n_nationkey, true AS a, true AS b, true AS c, true AS d FROM nation",
+    ),
+    "cte_in_subqueries": (
+        "SELECT n_name FROM nation WHERE n_regionkey IN (WITH a AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey < 3) SELECT k FROM a) AND n_nationkey IN (WITH a AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 4) SELECT k FROM a)",
+        "SELECT n_name FROM nation WHERE n_regionkey < 3 AND n_nationkey > 4",
+    ),
+    "group_array_of_groups": (
+        "SELECT r, groupArray(n_name) AS names FROM (SELECT n_regionkey AS r, n_name FROM nation WHERE n_nationkey < 5) AS t GROUP BY r HAVING count() = 1",
+        "SELECT n_regionkey AS r, min(n_name) AS names FROM nation WHERE n_nationkey < 5 GROUP BY n_regionkey HAVING count(*) = 1",
+    ),
     # windows
     "window_ranking": (
         "SELECT event_id, row_number() OVER w AS rn, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, ntile(3) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
