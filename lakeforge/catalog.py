@@ -38,7 +38,7 @@ class Table:
     order_by: list[str] = field(default_factory=list)
     primary_key: list[str] = field(default_factory=list)
     checks: list[tuple[str, str]] = field(default_factory=list)  # (name, condition in the dialect)
-    path: str | None = None  # the current version; None: no rows
+    paths: list[str] = field(default_factory=list)  # the folders of the current version; none: no rows
     external: str | None = None  # a temporary view that holds the rows instead
 
     def column(self, name: str) -> Column:

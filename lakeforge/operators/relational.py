@@ -37,10 +37,10 @@ def anti_join(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """NOT IN: nothing if the other side holds a NULL; NULL on this side only against an empty other side."""
-    spark = df.sparkSession
-    df.createOrReplaceTempView("_lakeforge_left")
-    other.createOrReplaceTempView("_lakeforge_right")
-    return spark.sql(f"SELECT * FROM _lakeforge_left WHERE `{column}` NOT IN (SELECT `{other_column}` FROM _lakeforge_right)")
+    keys = other.select(F.col(other_column).alias("_key"))
+    facts = keys.agg(F.count(F.lit(1)).alias("_rows"), F.count("_key").alias("_full"))  # one row
+    kept = df.join(keys, df[column] == keys["_key"], "left_anti").join(F.broadcast(facts), F.lit(True))
+    return kept.where((F.col("_rows") == 0) | ((F.col("_rows") == F.col("_full")) & F.col(column).isNotNull())).drop("_rows", "_full")
 
 
 def set_operation(op: str, left: DataFrame, right: DataFrame, every: bool = False) -> DataFrame:
