@@ -127,6 +127,12 @@ class Workspace:
             pass
 
 
+def range_count(total: int, least: int, most: int, want: int = 4096) -> int:
+    """Ranges for that many rows or bytes: ``want`` of them, each of ``least`` at least and ``most`` at most; the session's settings play no part."""
+    each = min(most, max(least, -(-total // want)))
+    return max(2, -(-total // each))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

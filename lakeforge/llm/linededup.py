@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Workspace, map_arrow, text_bytes
+from .common import Workspace, map_arrow, range_count, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Rows of a sorted run, at least and at most.
+RUN_ROWS = 100_000, 10_000_000
 _TRAILS = bytes(range(0x80, 0xC0))
 _HASHES = "h1 long, h2 long, doc_id long, version long, pos int"
 _SIGNED = 1 << 63
@@ -191,11 +193,10 @@ def _drops(carry: dict[int, tuple], min_docs: int):
     return run
 
 
-def dropped_lines(docs: DataFrame, ws: Workspace, *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, version, pos) of every line that goes."""
-    spark = docs.sparkSession
+def dropped_lines(docs: DataFrame, ws: Workspace, *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, runs: int | None = None) -> DataFrame:
+    """(doc_id, version, pos) of every line that goes; ``runs`` is the number of sorted runs."""
     hashes = ws.write(line_hashes(docs, min_chars), "hashes")
-    runs = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = runs or range_count(hashes.count(), *RUN_ROWS)
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last(), F.col("version"), F.col("pos")]
     # A checkpoint keeps the partitions and their order, so both passes see the same sorted runs.
     runs_at = ws.checkpoint(hashes.repartitionByRange(runs, *order).sortWithinPartitions(*order))

@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Workspace, batch_words, map_arrow, mix64, text_string
+from .common import SHINGLE, Workspace, batch_words, map_arrow, mix64, range_count, text_string
 
 PERCENT = 75
 TREES, DEPTH, DEEP = 28, 4, 4
 WIDE = 8
 ALIKE, BLOCK = 62, 1024
 SALTS = 16
+#: Rows of a range of the sorted orders, at least and at most.
+RANGE_ROWS = 200_000, 20_000_000
 
 _FACTORS = mix64(np.arange(SHINGLE), 3) | np.uint64(1)
 _A = mix64(np.arange(TREES * DEPTH), 5) | np.uint64(1)
@@ -241,7 +243,7 @@ class Forest:
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(a, b): distinct pairs; (region, cid, n): members of wide regions and of those at the ends of sorted runs."""
-        ranges = max(2, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ranges = range_count(self.classes.count() * TREES, *RANGE_ROWS)
         order = ["region", "deep", "cid"]
         trees = forest_rows(self.classes).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         found = self.ws.write(map_arrow(trees, _neighbours, _FOUND), "found")

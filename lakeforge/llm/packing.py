@@ -10,7 +10,7 @@
 4. What is left at the end of a range is cut into sequences whose lengths are powers of two. Such
    sequences need no padding, so none is made.
 
-A null or empty text is END alone; a null doc_id is kept. Repeated rows are packed one by one.
+A null or empty text is END alone; a null doc_id is kept. Repeated rows are packed one by one. Extra columns are left out.
 The state of a task is one sequence.
 """
 
@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_words, keep, map_arrow, mix64, text_string
+from .common import Workspace, batch_words, keep, map_arrow, mix64, range_count, text_string
 
 LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS = 256, 4, 15
 CACHE = 1_000_000
+#: Bytes of ids in a range, at least and at most.
+RANGE_BYTES = 8 << 20, 256 << 20
 
 
 def default_tokenizer() -> str:
@@ -253,7 +255,7 @@ def pack(docs: DataFrame, ws: Workspace, *, tokenizer: str | None = None, length
     path = tokenizer or default_tokenizer()
     # Written, since sampling for the ranges and the sort both read it.
     rows = ws.write(token_rows(docs, path), "tokens")
-    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = range_count(rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0, *RANGE_BYTES)
     order = ["place", "tie", "doc_id", F.crc32("ids")]
     curve = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -98,29 +98,20 @@ def slow_lines(docs):
     return Counter(out)
 
 
-@pytest.mark.parametrize("runs", ["2", "8", "60"])
+@pytest.mark.parametrize("runs", [None, 2, 8, 60])
 def test_line_dedup_matches_brute_force(spark, sf, odd_docs, runs):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", runs)
-    try:
-        got = entries.op6_line_dedup(spark, sf).collect()
-        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == slow_lines(texts(spark, sf))
-        got = linededup.digest(odd_docs, Workspace(spark, "t")).collect()
-        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == slow_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    docs = table(spark, sf, "documents")
+    got = (linededup.digest(docs, Workspace(spark, "t"), runs=runs) if runs else entries.op6_line_dedup(spark, sf)).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == slow_lines(texts(spark, sf))
+    got = linededup.digest(odd_docs, Workspace(spark, "t"), runs=runs).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == slow_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
 
 
 def test_line_dedup_with_one_hot_line_over_many_runs(spark):
     rows = [(i, f"shared line number one is here\n{i} own line, long enough to count\nshared line number one is here") for i in range(3000)]
     rows += [(i, f"pair line held by {i // 2} and no other") for i in range(5000, 5400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "37")
-    try:
-        got = linededup.digest(docs, Workspace(spark, "t")).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = linededup.digest(docs, Workspace(spark, "t"), runs=37).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == slow_lines(rows)
 
 

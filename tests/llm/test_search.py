@@ -189,6 +189,27 @@ def test_packing(spark, sf, odd_docs, no_docs):
     assert packing.pack(no_docs, Workspace(spark, "t")).count() == 0
 
 
+def test_packing_follows_the_curve(spark, sf, monkeypatch):
+    """Documents lie in their sequences in the order of a curve computed one by one from the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RANGE_BYTES", (20_000, 20_000))
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    docs = table(spark, sf, "documents")
+    project, place = packing.Projector(), {}
+    for d in docs.collect():
+        vector = np.zeros(packing.BUCKETS)
+        for i in tok.encode(d.text or "", add_special_tokens=False).ids + [1]:
+            h = int(packing.mix64(np.array([i & 0xFFFF]), 11)[0])
+            vector[h % packing.BUCKETS] += 1 if h >> 63 else -1
+        share = 1 / (1 + np.exp(-1.702 * (vector / np.linalg.norm(vector) @ project.matrix)))
+        place[d.doc_id] = int(packing.hilbert(np.minimum((share * (1 << packing.BITS)).astype(np.int64), (1 << packing.BITS) - 1)[None], packing.BITS)[0])
+    rows = sorted(packing.pack(docs, Workspace(spark, "t")).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert len({r.sequence_id >> 40 for r in rows}) > 3
+    order = [place[r.doc_id] for r in rows]
+    assert order == sorted(order)
+
+
 def test_encoder_agrees_with_the_tokenizer_on_odd_texts():
     encode = packing.Encoder(packing.default_tokenizer())
     for text in ["It's 12 o'clock, DON'T.", "a<|endoftext|>b <|STARTOFTEXT|> x", "é É é   ﬁ x y", "\x1c\x1d \x85 tab\tnew\nline", "word, word. |word| .,", "漢字 \U0001f600 ΣΑΣ İ"]:
