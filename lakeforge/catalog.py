@@ -39,6 +39,7 @@ class Table:
     primary_key: list[str] = field(default_factory=list)
     checks: list[tuple[str, str]] = field(default_factory=list)  # (name, condition in the dialect)
     paths: list[str] = field(default_factory=list)  # the folders of the current version; none: no rows
+    stats: dict[str, dict] = field(default_factory=dict)  # by folder: rows, and each column's count, minimum and maximum as text
     external: str | None = None  # a temporary view that holds the rows instead
 
     def column(self, name: str) -> Column:

@@ -6,7 +6,8 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -14,6 +15,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.stats: dict[str, dict] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,11 +70,20 @@ class Store:
         fs.rename(p, self._fs(to)[1])
 
     def write_table(self, df: DataFrame, name: str, order: list[str] | None = None) -> str:
-        """A new folder of rows of the table; they are sorted within files so that row groups can be skipped."""
+        """A new folder of rows of the table; they are sorted within files so that row groups can be skipped.
+
+        Counts, minima and maxima are taken as the rows pass, and kept in ``stats``.
+        """
         at = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
+        seen = Observation()
+        columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+        marks = [x for k, c in enumerate(columns) for x in (F.count(c).alias(f"n{k}"), F.min(c).cast("string").alias(f"a{k}"), F.max(c).cast("string").alias(f"b{k}"))]
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks)
         if order:
             df = df.sortWithinPartitions(*order)
         df.write.option("compression", "zstd").parquet(at)
+        found = seen.get
+        self.stats[at] = {"rows": found["rows"], "columns": {c: [found[f"n{k}"], found[f"a{k}"], found[f"b{k}"]] for k, c in enumerate(df.columns)}}
         return at
 
     def files(self, path: str) -> list[tuple[str, int]]:

@@ -95,6 +95,20 @@ def test_a_statement_writes_only_what_it_touches(db):
     assert len(t.paths) == 1 and db.sql("SELECT count() AS n FROM trips").first()[0] == 9
 
 
+def test_whole_table_aggregates_read_no_rows(db):
+    ask = "SELECT count() AS n, count(city) AS c, min(city) AS a, max(minutes) AS b, min(ride) AS r, max(paid) AS p FROM trips"
+    slow = ask + " WHERE ride >= 0"
+    for change in ("INSERT INTO trips VALUES (31,'Ä''\\\\x',900,1,false)", "DELETE FROM trips WHERE city = 'Bonn'", "UPDATE trips SET minutes = 1 WHERE ride = 31", "ALTER TABLE trips DROP COLUMN cents", "TRUNCATE TABLE trips"):
+        quick = db.sql(ask)
+        assert "parquet" not in quick._jdf.queryExecution().executedPlan().toString().lower()
+        assert rows(quick) == rows(db.sql(slow)) and quick.schema == db.sql(slow).schema or quick.dtypes == db.sql(slow).dtypes
+        db.sql(change)
+    assert rows(db.sql(ask)) == rows(db.sql(slow)) == [(0, 0, None, None, None, None)]
+    db.run("CREATE TABLE kinds (d Date, t DateTime, f Float64, g Float32, x Decimal64(2), s Nullable(String)) ORDER BY tuple(); INSERT INTO kinds VALUES ('2024-01-02', '2024-01-02 03:04:05', 1.1e0, 2.5e0, -1.25, NULL), ('1999-12-31', '1999-12-31 23:59:59', -3.3e-9, 7.0e0, 3.00, NULL)")
+    ask = "SELECT " + ", ".join(f"min({c}) AS a{c}, max({c}) AS b{c}, count({c}) AS n{c}" for c in "dtfgxs") + " FROM kinds"
+    assert rows(db.sql(ask)) == rows(db.sql(ask + " WHERE 1 = 1")) and db.sql(ask).dtypes == db.sql(ask + " WHERE 1 = 1").dtypes
+
+
 def test_rows_by_key(db):
     assert db.get("trips", 13).city == "Oslo" and db.get("trips", 99) is None
     assert [r and r.minutes for r in db.multi_get("trips", [(12,), (98,), (17,)])] == [7, None, 33]
