@@ -116,10 +116,6 @@ class Workspace:
         for name in names:
             _delete(self.spark, f"{self.path}/{name}")
 
-    def free_shuffles(self) -> None:
-        """Have Spark delete the shuffle files of jobs that are over: it does so when the driver's heap is collected, which may be long after."""
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         try:
             if self in self.opened:
