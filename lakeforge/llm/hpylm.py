@@ -14,10 +14,11 @@ that parts and words' totals exchange.
 1. ``count_cells`` counts the pairs of FLUSH tokens at a time; ``_merge`` adds up a part's cells.
 2. ``sweep`` is a sweep of Gibbs sampling. The number of tables of a word in a restaurant is drawn from
    its exact conditional given all other words' and restaurants' tables, S(c, t) times the tables'
-   weights, where S are the generalised Stirling numbers. Above LADDER customers the tables' sizes are
-   kept, and MOVES customers a sweep leave and are seated anew, one after another. A pair seen once
-   has one table. Totals of words (tables in their restaurant, customers at the root) go by a hash of the
-   word to be added up and come back to the parts that ask; a sweep uses those of the sweep before.
+   weights, where S are the generalised Stirling numbers, so all customers of a pair are seated anew in
+   each sweep, however many they are. Up to LADDER customers S comes from its recurrence, beyond from an
+   integral over its generating function (``log_sibuya``). A pair seen once has one table. Totals of words
+   (tables in their restaurant, customers at the root) go by a hash of the word to be added up and come
+   back to the parts that ask; a sweep uses those of the sweep before.
    Concentrations are drawn from their posterior on a grid of powers of two after each sweep.
    Random numbers depend on the pair and the sweep alone, so neither batches nor parts change a result.
 3. ``score`` cuts the texts into cells again, this time with the documents of each pair, and sends them
@@ -32,6 +33,7 @@ count and are scored one by one.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import struct
@@ -50,9 +52,11 @@ from .common import Workspace, batch_words, map_arrow, mix64, text_string
 
 END = b"\n"  # no word holds white space
 BURN, SAMPLES = 3, 3
-LADDER, MOVES = 256, 32
+LADDER = 256
 PART_BYTES, LEAST_PARTS = 32 << 20, 12
 FLUSH = 2_000_000
+#: Numbers of tables that are weighed at a time, and points at which S is worked out for a run of them.
+WINDOW, NODES = 1 << 17, 24
 #: Concentrations that are tried: of the contexts, and of the root.
 THETAS, ROOT_THETAS = 2.0 ** np.arange(-10, 13), 2.0 ** np.arange(-10, 25)
 
@@ -373,6 +377,156 @@ def draw(c: np.ndarray, tables: np.ndarray, root: np.ndarray, others: np.ndarray
     return out
 
 
+@functools.cache
+def _saddles(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(tables / customers) and log(mu), rising, where exp(-mu) is the saddle point of ``log_sibuya``."""
+    m = np.linspace(-60, 3.2, 8000)
+    mu = np.exp(m)
+    y = np.log1p(-np.exp(-np.maximum(mu, 0.5)))
+    y = np.where(mu < 0.5, np.log(-np.expm1(-mu)), y)
+    return np.log(-np.expm1(d * y)) - math.log(d) + mu + (1 - d) * y, m
+
+
+def _log_g(d: float, z: np.ndarray) -> np.ndarray:
+    """log(1 - (1 - exp(z))^d); the series is for exp(z) below 0.05."""
+    if z.size and z.real.max() < -3:
+        x, total = np.exp(z), 0.0
+        for j in range(14, 0, -1):
+            total = (total + 1) * x * ((j - d) / (j + 1))
+        return math.log(d) + z + np.log1p(total)
+    return np.log1p(-((-np.expm1(z)) ** d))
+
+
+def log_sibuya(d: float, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The logarithm of the coefficient of x^n in g^k, g = 1 - (1 - x)^d: the generalised Stirling number S(n, k) times d^k k! / n!. k may be a fraction.
+
+    Cauchy's integral over z = log x from the saddle point -mu on: along a parabola around the branch cut where mu is small, else straight up.
+    """
+    shape = np.broadcast_shapes(np.shape(n), np.shape(k))
+    n, k = (np.broadcast_to(v, shape).astype(float).ravel() for v in (n, k))
+    mu = np.minimum(np.maximum(np.exp(np.interp(np.log(k / n), *_saddles(d))), 2 / n), 1 + np.log(n))
+    y = -np.expm1(-mu)
+    log_g = np.empty(len(n))
+    bent, straight, far = (np.flatnonzero(x) for x in (mu <= 0.25, (mu > 0.25) & (mu <= 3), mu > 3))
+    for at in (bent, straight, far):
+        log_g[at] = _log_g(d, -mu[at])
+    slope = d * np.exp(-mu - log_g) * y ** (d - 1)
+    width = 1 / np.sqrt(np.maximum(k * slope * (1 + (1 - d) * np.exp(-mu) / y - slope), 1e-300))
+    top = n * mu + k * log_g
+    out = np.empty(len(n))
+
+    def integral(at, z, dz):
+        log = _log_g(d, z) * k[at, None]
+        small = k[at] * y[at] ** d < 1  # there the 1 that g^k is near, whose integral is 0, is left out
+        total = np.where(small[:, None], np.expm1(np.where(small[:, None], log, 0)) * np.exp(-n[at, None] * (z + mu[at, None])), np.exp(log - n[at, None] * z - top[at, None]))
+        out[at] = np.log((total * dz).real.sum(axis=1)) + np.where(small, n[at] * mu[at], top[at])
+
+    step = 4000
+    a = np.minimum(1, width / (2 * mu))
+    narrow = a[bent] < 0.1
+    for some, points, h in ((bent[narrow], 16, 0.18), (bent[~narrow], 24, 0.15)):
+        v = (np.arange(points) + 0.5) * h
+        for i in range(0, len(some), step):
+            at = some[i : i + step]
+            turn = 1 + 1j * a[at, None] * np.sinh(v)
+            integral(at, -mu[at, None] * turn**2, turn * (a * mu)[at, None] * np.cosh(v) * (h * 2 / math.pi))
+    narrow = width[straight] < 0.1
+    for some, points in ((straight[narrow], 24), (straight[~narrow], 80), (far, 80)):
+        for i in range(0, len(some), step):
+            at = some[i : i + step]
+            h = np.minimum(math.pi / 80, 0.35 * width[at])[:, None]
+            integral(at, -mu[at, None] + 1j * h * (np.arange(points) + 0.5), h / math.pi)
+    return out.reshape(shape)
+
+
+def _likely(c, tables, root, others, rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the numbers of tables outside which the conditional of ``draw`` is below exp(-36) or so of its greatest value, by a rougher S."""
+    n, places = c[:, None].astype(float), np.linspace(0, 1, 24)
+    lo, hi = np.ones(len(c)), c.astype(float)
+    each = np.arange(len(c))
+    for _ in range(5):
+        k = lo[:, None] * (hi / lo)[:, None] ** places
+        mu = np.maximum(np.exp(np.interp(np.log(k / n), *_saddles(rates.d))), 1 / n)
+        power = np.exp(rates.d * np.log(-np.expm1(-mu)))
+        log = k * np.log1p(-power) + n * mu + np.log(np.minimum(1, k * power)) + _weight(k, tables[:, None], root[:, None], others[:, None], rates)
+        near = log > log.max(axis=1, keepdims=True) - 45
+        a, b = np.maximum(near.argmax(axis=1) - 1, 0), np.minimum(len(places) - near[:, ::-1].argmax(axis=1), len(places) - 1)
+        lo, hi = k[each, a], k[each, b]
+    return np.maximum(np.floor(lo), 1).astype(np.int64), np.minimum(np.ceil(hi), c).astype(np.int64)
+
+
+def _weight(k, tables, root, others, rates: Rates) -> np.ndarray:
+    """The logarithm of the weights of k tables over d^k k!, up to what doesn't depend on k."""
+    return _lgamma(rates.theta / rates.d + tables + k) + _lgamma(root + k - rates.root_d) - _lgamma(rates.root_theta + others + k) - _lgamma(k + 1.0)
+
+
+def _conditional(c, tables, root, others, rates: Rates, lo, hi) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each pair's run of numbers of tables from lo to hi begins, all their weights, the greatest of a run 1, and its logarithm over that of lo's ``_weight``."""
+    length = hi - lo + 1
+    begin = np.cumsum(length) - length
+    i = np.repeat(np.arange(len(c)), length)
+    k = np.arange(len(i)) - begin[i] + lo[i]
+    # S is worked out number by number in short runs and those that end at c, else at a few points of log k, between which it is a polynomial.
+    alone = (length <= NODES) | (c - hi < 20)
+    log, each = np.empty(len(k)), alone[i]
+    log[each] = log_sibuya(rates.d, c[i[each]], k[each])
+    if not alone.all():
+        r, of = np.flatnonzero(~alone), (np.cumsum(~alone) - 1)[i[~each]]
+        angle = (np.arange(NODES) + 0.5) * math.pi / NODES
+        low, span = np.log(lo[r]), np.log(hi[r] / lo[r])
+        points = np.exp(low[:, None] + span[:, None] * (np.cos(angle) + 1) / 2)
+        close = (c - hi < length)[r]  # to c, beyond which (c - k)! has poles
+        found = log_sibuya(rates.d, c[r, None], points)
+        found[close] += _lgamma(c[r[close], None] - points[close] + 1)
+        series = found @ np.cos(np.outer(angle, np.arange(NODES))) * (2 / NODES)
+        x = 2 * (np.log(k[~each]) - low[of]) / span[of] - 1
+        b1 = b2 = np.zeros(len(x))
+        for j in range(NODES - 1, 0, -1):
+            b1, b2 = 2 * x * b1 - b2 + series[of, j], b1
+        found = x * b1 - b2 + series[of, 0] / 2
+        found[close[of]] -= _lgamma((c[i] - k)[~each][close[of]] + 1.0)
+        log[~each] = found
+    before = k - 1
+    rise = np.log(rates.table(tables[i] + before, root[i] + before) / ((rates.root_theta + others[i] + before) * (rates.d * k)))
+    rise[begin] = 0
+    rise = np.cumsum(rise)
+    log += rise - rise[begin][i]
+    top = np.maximum.reduceat(log, begin)
+    return begin, np.exp(log - top[i]), top
+
+
+def draw_many(c: np.ndarray, tables: np.ndarray, root: np.ndarray, others: np.ndarray, rates: Rates, x: np.ndarray) -> np.ndarray:
+    """As ``draw``, for any number of customers."""
+    lo, hi = _likely(c, tables, root, others, rates)
+    x = x.copy()
+    for a in np.flatnonzero(hi - lo >= WINDOW):  # one of many runs is drawn first
+        at = np.array([a])
+        given = c[at], tables[at], root[at], others[at]
+        begins = np.arange(lo[a], hi[a] + 1, WINDOW)
+        ends = np.minimum(begins + WINDOW - 1, hi[a])
+        log = np.empty(len(begins))
+        for j in range(len(begins)):
+            _, p, top = _conditional(*given, rates, begins[j : j + 1], ends[j : j + 1])
+            log[j] = math.log(p.sum()) + top[0] + _weight(begins[j : j + 1], *given[1:], rates)[0]
+        p = np.exp(log - log.max())
+        p /= p.sum()
+        j = min(int(np.searchsorted(np.cumsum(p), x[a], "right")), len(p) - 1)
+        lo[a], hi[a], x[a] = begins[j], ends[j], min(max((x[a] - p[:j].sum()) / p[j], 0.0), 1 - 2.0**-53)
+    out = np.empty(len(c), np.int64)
+    group = np.cumsum(hi - lo + 1) // WINDOW
+    for at in np.split(np.arange(len(c)), _starts(group)[1:]):
+        if not len(at):
+            continue
+        begin, p, _ = _conditional(c[at], tables[at], root[at], others[at], rates, lo[at], hi[at])
+        p /= np.repeat(np.add.reduceat(p, begin), hi[at] - lo[at] + 1)
+        place = np.searchsorted(np.cumsum(p), np.arange(len(at)) + x[at], "right")
+        out[at] = np.clip(place - begin + lo[at], lo[at], hi[at])
+    return out
+
+
+# Seating one customer after another, which ``draw_many`` must agree with; its work grows with the customers, so no sweep does it.
+
+
 def opened(c: np.ndarray, mass: np.ndarray, d: float) -> list[np.ndarray]:
     """Sizes of tables to begin with: about as many as seating in sequence opens, the first the largest."""
     out = []
@@ -389,7 +543,7 @@ def opened(c: np.ndarray, mass: np.ndarray, d: float) -> list[np.ndarray]:
     return out
 
 
-def move(c: np.ndarray, sizes: list[np.ndarray], tables: np.ndarray, root: np.ndarray, others: np.ndarray, rates: Rates, pair: np.ndarray, sweep: int, moves: int = MOVES) -> list[np.ndarray]:
+def move(c: np.ndarray, sizes: list[np.ndarray], tables: np.ndarray, root: np.ndarray, others: np.ndarray, rates: Rates, pair: np.ndarray, sweep: int, moves: int) -> list[np.ndarray]:
     """``moves`` customers of each pair leave their table, a customer picked at random each time, and are seated anew."""
     t = np.array([len(s) for s in sizes], np.int64)
     begin = np.cumsum(t + moves) - t - moves  # with room for new tables
@@ -482,16 +636,15 @@ class _State:
     w: np.ndarray
     c: np.ndarray
     t: np.ndarray
-    sizes: np.ndarray  # of the tables of pairs with more than LADDER customers, one pair after another
     samples: list[np.ndarray] = field(default_factory=list)
 
     def packed(self) -> bytes:
-        return pack(deltas(self.words), self.n, self.tables, self.root, deltas(self.u), self.w, self.c, self.t, self.sizes, *self.samples)
+        return pack(deltas(self.words), self.n, self.tables, self.root, deltas(self.u), self.w, self.c, self.t, *self.samples)
 
     @classmethod
     def of(cls, blob: bytes) -> _State:
-        words, n, tables, root, u, w, c, t, sizes, *samples = unpack(blob)
-        return cls(sums(words), n, tables, root, np.cumsum(u), w, c, t, sizes, samples)
+        words, n, tables, root, u, w, c, t, *samples = unpack(blob)
+        return cls(sums(words), n, tables, root, np.cumsum(u), w, c, t, samples)
 
     def rows(self, p: int, bits: int, log: np.ndarray):
         yield p, 0, p, self.packed()
@@ -513,7 +666,7 @@ def _start(bits: int):
         active[u[many]] = active[w[many]] = True
         place = np.cumsum(active) - 1
         c = c[many]
-        state = _State(words[active], n, tables, root, place[u[many]], place[w[many]], c, np.ones(len(c), np.int64), c[c > LADDER])
+        state = _State(words[active], n, tables, root, place[u[many]], place[w[many]], c, np.ones(len(c), np.int64))
         yield from state.rows(p, bits, np.zeros(len(THETAS)))
 
     return _each(f)
@@ -553,17 +706,11 @@ def _swept(rates: Rates, number: int, keep: bool, bits: int):
             tables, root = (s.tables + tables)[s.u] - s.t, (s.root + root)[s.w] - s.t
             others = rates.customers - s.t
             pair = pair_hash(s.words[s.u], s.words[s.w])
+            x = uniform(pair, number)
             t = np.empty_like(s.t)
             few = s.c <= LADDER
-            t[few] = draw(s.c[few], tables[few], root[few], others[few], logs, rates, uniform(pair[few], number))
-            big = np.flatnonzero(~few)
-            if len(big):
-                if number == 1:
-                    sizes = opened(s.c[big], rates.table(tables[big], root[big]) / (rates.root_theta + others[big]), rates.d)
-                else:
-                    sizes = np.split(s.sizes, np.cumsum(s.t[big])[:-1])
-                sizes = move(s.c[big], sizes, tables[big], root[big], others[big], rates, pair[big], number)
-                t[big], s.sizes = [len(x) for x in sizes], np.concatenate(sizes)
+            t[few] = draw(s.c[few], tables[few], root[few], others[few], logs, rates, x[few])
+            t[~few] = draw_many(s.c[~few], tables[~few], root[~few], others[~few], rates, x[~few])
             s.t = t
         if keep:
             s.samples.append(s.t)

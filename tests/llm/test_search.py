@@ -417,6 +417,59 @@ def test_seating():
     assert [s.sum() for s in many] == [10**9, 300] and 4 < len(many[0]) < 100
 
 
+def test_frequent_pairs_are_seated_anew_in_each_sweep(spark):
+    """Tables of pairs of 1600 customers follow their exact conditional given the sweep before, all of it and not only near the tables that they had."""
+    ids = (i for i in range(10**4) if not held(i))
+    rows = [(next(ids), f"u{k} x " * 800) for k in range(100) for _ in range(2)] + [(next(ids), f"r{k}") for k in range(100)]
+    model = hpylm.fit(hpylm.split(spark.createDataFrame(rows, "doc_id long, text string")), Workspace(spark, "t"), samples=5, parts=2)
+    words, pairs = word_totals(model)
+    x, *contexts = (hpylm.xxhash.xxh3_64_intdigest(w.encode()) for w in ["x", *(f"u{k}" for k in range(100))])
+    logs = hpylm.stirling(model.rates[0].d, 1600)[1600, 1:]
+    z = np.empty((4, 100))
+    for s in range(4):  # the sample s + 1, given s
+        before, rates = model.rates[s], model.rates[s + 1]
+        for j, u in enumerate(contexts):
+            c, t = pairs[u, x]
+            k = np.arange(1600)
+            log = logs + np.cumsum(np.log(rates.table(words[u][1][s] - t[s] + k, words[x][2][s] - t[s] + k) / (rates.root_theta + before.customers - t[s] + k)))
+            p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+            mean = p @ (k + 1)
+            z[s, j] = (t[s + 1] - mean) / math.sqrt(p @ (k + 1 - mean) ** 2)
+            assert c == 1600
+    assert np.all(np.abs(z.mean(axis=1)) < 0.5) and np.all(np.abs(z.std(axis=1) - 1) < 0.4)
+    assert all(abs(np.corrcoef(a, b)[0, 1]) < 0.5 for a, b in zip(z, z[1:], strict=False))
+
+
+def test_seating_of_many_customers():
+    """Numbers of tables of any number of customers, against the recurrence of the Stirling numbers."""
+    for d in (0.05, 0.5, 0.75, 0.95):
+        logs = hpylm.stirling(d, 1000)
+        k = np.arange(1, 1001)
+        factor = np.cumsum(np.log(d * k)) - math.lgamma(1001)  # d^k k! / n!
+        assert np.abs(hpylm.log_sibuya(d, np.full(1000, 1000), k) - logs[1000, 1:] - factor).max() < 1e-5
+        for n in (10**6, 10**9):  # S(n + 1, k) = S(n, k - 1) + (n - d k) S(n, k)
+            k = np.unique(np.exp(np.linspace(math.log(2), math.log(n), 200)).astype(np.int64))
+            a, b, after = (hpylm.log_sibuya(d, np.full(len(k), m), i) for m, i in ((n, k - 1), (n, k), (n + 1, k)))
+            assert np.abs(math.log(n + 1) + after - np.logaddexp(np.log(k * d) + a, np.log(n - d * k) + b)).max() < 1e-4
+        for c, tables, root, others, theta in ((300, 0, 0, 5, 1.0), (1000, 50, 400, 90000, 4.0), (1000, 10**6, 10**6, 10**6 + 5, 4096.0), (1000, 3, 10**5, 10**7, 0.1)):
+            rates = hpylm.Rates(d, theta, 0.4, 20.0, 0)
+            i = np.arange(c)
+            log = logs[c, 1 : c + 1] + np.cumsum(np.log(rates.table(tables + i, root + i) / (20.0 + others + i)))
+            p = np.exp(log - log.max())
+            x = (np.arange(2000) + 0.5) / 2000
+            want = 1 + np.searchsorted(np.cumsum(p) / p.sum(), x, "right")
+            same = lambda v: np.full(2000, v)
+            given = same(c), same(tables), same(root), same(others)
+            got = hpylm.draw_many(*given, rates, x)
+            assert (got != want).mean() < 0.002 and np.abs(got - want).max() <= 1
+            window, hpylm.WINDOW = hpylm.WINDOW, 30  # runs that are weighed one after another
+            try:
+                got = hpylm.draw_many(*(v[::20] for v in given), rates, x[::20])
+            finally:
+                hpylm.WINDOW = window
+            assert (got != want[::20]).mean() < 0.02 and np.abs(got - want[::20]).max() <= 1
+
+
 def test_packed_arrays():
     for a in ([], [0, 1], [255, 256], [1 << 40, 3]):
         assert hpylm.unpack(hpylm.pack(np.array(a, np.int64), np.array([0.5])))[0].tolist() == a
