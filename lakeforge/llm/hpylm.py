@@ -55,6 +55,8 @@ BURN, SAMPLES = 3, 3
 LADDER = 256
 PART_BYTES, LEAST_PARTS = 32 << 20, 12
 FLUSH = 2_000_000
+#: Pairs whose probabilities are worked out at a time.
+BLOCK = 1 << 18
 #: Numbers of tables that are weighed at a time, and points at which S is worked out for a run of them.
 WINDOW, NODES = 1 << 17, 24
 #: Concentrations that are tried: of the contexts, and of the root.
@@ -106,8 +108,10 @@ def sums(d: np.ndarray) -> np.ndarray:
 
 
 def _rows(batches):
+    """Row by row, so that a batch's blobs aren't all held twice."""
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for k in range(b.num_rows):
+            yield tuple(c[k].as_py() for c in b.columns)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,38 +171,64 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select(text_string().alias("body"), (crc % 7 == 2).alias("held_out"), "doc_id")
 
 
-def flushes(batches, size: int = FLUSH):
-    """From batches of (body, held_out, ...): (words' sorted hashes, context and token of each, its text, tokens a text, the batches)."""
-
-    def joined(held):
-        words = np.unique(np.concatenate([h for *_, h, _ in held]))
-        contexts, tokens, texts, lengths = [], [], [], []
-        for token, context, offsets, h, _ in held:
-            at = np.searchsorted(words, h)
-            tokens.append(at[token])
-            contexts.append(at[context])
-            lengths.append(np.diff(offsets))
-        lengths = np.concatenate(lengths)
-        texts = np.repeat(np.arange(len(lengths)), lengths)
-        return words, np.concatenate(contexts), np.concatenate(tokens), texts, lengths, [b for *_, b in held]
-
-    held, n = [], 0
+def _pieces(batches, size: int):
+    """Slices of the batches whose texts have at most ``size`` bytes, one added for each END, or that are one text."""
     for b in batches:
-        if b.num_rows:
-            held.append((*batch_tokens(b.column(0)), b))
-            n += len(held[-1][0])
-            if n >= size:
-                yield joined(held)
-                held, n = [], 0
-    if held:
-        yield joined(held)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
-def _by_part(words: np.ndarray, u: np.ndarray, w: np.ndarray, parts: int):
-    """(part, places of its pairs in their order) of each part that has pairs."""
-    part = (pair_hash(words[u], words[w]) % np.uint64(parts)).astype(np.int64)
+def flushes(batches, size: int = FLUSH):
+    """Lists of ``batch_tokens`` and the other columns, of ``size`` tokens to 3/2 of that, or of one text; the last may be shorter."""
+    held, n = [], 0
+    for b in _pieces(batches, size):
+        token, context, offsets, h = batch_tokens(b.column(0))
+        if held and n + len(token) > size + size // 2:
+            yield held
+            held, n = [], 0
+        # Taken, not sliced: a slice would hold on to the texts.
+        rest = [pc.take(c, pa.array(np.arange(b.num_rows))) for c in b.columns[1:]]
+        held.append((token.astype(np.int32), context.astype(np.int32), np.diff(offsets), h, rest))
+        n += len(token)
+        del b, token, context, offsets, h, rest
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of a flush, which is emptied: the words' sorted hashes, each token's pair (context * words + token), tokens a text, and the other columns."""
+    words = np.unique(np.concatenate([h for *_, h, _ in held]))
+    pair, at = np.empty(sum(len(x[0]) for x in held), np.int64), 0
+    lengths, rest = [], []
+    for k in range(len(held)):
+        token, context, length, h, columns = held[k]
+        held[k] = None
+        place = np.searchsorted(words, h)
+        own = pair[at : at + len(token)]
+        own[:] = place[context]
+        own *= len(words)
+        own += place[token]
+        at += len(token)
+        lengths.append(length)
+        rest.append(columns)
+    held.clear()
+    return words, pair, np.concatenate(lengths), rest
+
+
+def _by_part(words: np.ndarray, u: np.ndarray, w: np.ndarray, parts: int, times: np.ndarray | None = None):
+    """(part, places of its pairs in their order) of each part that has pairs; of each pair ``times`` places, if given."""
+    part = (pair_hash(words[u], words[w]) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    if times is not None:
+        part = np.repeat(part, times)
     order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    bounds = np.searchsorted(part, np.arange(parts + 1, dtype=part.dtype), sorter=order)
     for p in range(parts):
         if bounds[p] < bounds[p + 1]:
             yield p, order[bounds[p] : bounds[p + 1]]
@@ -219,72 +249,89 @@ def _starts(x: np.ndarray) -> np.ndarray:
 def count_cells(parts: int, size: int = FLUSH):
     """Rows (part, 0, -, pairs with their training counts)."""
 
-    def run(batches):
-        for words, context, token, text, _, held in flushes(batches, size):
-            train = ~np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
-            key = (context * len(words) + token) * 2 + train[text]
-            key.sort()
-            at = _starts(key >> 1)
-            c = np.add.reduceat(key & 1, at)
-            u, w = np.divmod(key[at] >> 1, len(words))
-            rows = []
-            for p, mine in _by_part(words, u, w, parts):
-                h, a, b = _own_words(words, u[mine], w[mine])
-                rows.append((p, 0, 0, pack(deltas(h), deltas(a), b, c[mine])))
-            yield _batch(rows)
-
-    return run
+    def cells(held):
+        words, key, lengths, rest = _joined(held)
+        key *= 2
+        key += np.repeat(np.concatenate([out.to_numpy(zero_copy_only=False) for out, *_ in rest]) == 0, lengths)
+        key.sort()
+        train = (key & 1).astype(np.int8)
+        key >>= 1
+        at = _starts(key)
+        c = np.add.reduceat(train, at, dtype=np.int64)
+        u, w = np.divmod(key[at], len(words))
+        del key, train, at
+        rows = []
+        for p, mine in _by_part(words, u, w, parts):
+            h, a, b = _own_words(words, u[mine], w[mine])
+            rows.append((p, 0, 0, pack(deltas(h), deltas(a), b, c[mine])))
+        return _batch(rows)
+
+    return lambda batches: map(cells, flushes(batches, size))
 
 
 def post_cells(parts: int, size: int = FLUSH):
     """Rows (part, 3, flush, pairs with their documents) and (part, 4, flush, the documents themselves, with ids)."""
 
-    def run(batches):
-        for k, (words, context, token, text, lengths, held) in enumerate(flushes(batches, size)):
-            flush = TaskContext.get().partitionId() << 24 | k
-            pair, place = np.unique(context * len(words) + token, return_inverse=True)
-            u, w = np.divmod(pair, len(words))
-            rank, cuts = np.empty(len(pair), np.int64), [0]
-            slices = list(_by_part(words, u, w, parts))
-            for _, mine in slices:
-                rank[mine] = np.arange(len(mine)) + cuts[-1]
-                cuts.append(cuts[-1] + len(mine))
-            key = rank[place] * len(lengths) + text
-            key.sort()
-            at = _starts(key)
-            n = np.diff(np.append(at, len(key)))
-            pair_at, doc = np.divmod(key[at], len(lengths))
-            ends = np.searchsorted(pair_at, cuts)
-            rows = []
-            for (p, mine), a, b, first in zip(slices, ends[:-1], ends[1:], cuts, strict=False):
-                h, x, y = _own_words(words, u[mine], w[mine])
-                held_by = np.bincount(pair_at[a:b] - first, minlength=len(mine))
-                step = np.diff(doc[a:b], prepend=0)
-                begins = np.cumsum(held_by) - held_by
-                step[begins] = doc[a:b][begins]
-                rows.append((p, 3, flush, pack(deltas(h), deltas(x), y, held_by, step, n[a:b])))
-            out = _batch([*rows, (flush % parts, 4, flush, pack(np.concatenate([x.column(1).to_numpy(zero_copy_only=False) for x in held]).astype(np.int64), lengths))])
-            ids = pa.concat_arrays([x.column(2) for x in held])
-            lists = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([*out.columns, lists], [*_NAMES, "ids"])
-
-    return run
-
-
-def _merge(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of a part's words, and its pairs (u, w, c) in order of u and w."""
-    found = [unpack(x) for x in cells]
-    words = np.unique(np.concatenate([sums(x[0]) for x in found]))
-    keys = []
-    for h, u, w, _ in found:
-        at = np.searchsorted(words, sums(h))
-        keys.append(at[np.cumsum(u)] * len(words) + at[w])
-    key = np.concatenate(keys)
+    def cells(k, held):
+        flush = TaskContext.get().partitionId() << 24 | k
+        words, key, lengths, rest = _joined(held)
+        # Words and texts together are no more than tokens and one, so three factors fit: a flush has 3 million tokens, or one text.
+        key *= len(lengths)
+        key += np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        key.sort()
+        at = _starts(key)
+        n = np.diff(at, append=len(key)).astype(np.int32)
+        key = key[at]
+        del at
+        doc = (key % len(lengths)).astype(np.int32)
+        key //= len(lengths)
+        first = _starts(key)  # of each pair's documents
+        u, w = np.divmod(key[first], len(words))
+        del key
+        held_by = np.diff(first, append=len(doc))
+        pair = np.repeat(np.arange(len(u), dtype=np.int32), held_by)
+        rows = []
+        for p, mine in _by_part(words, u, w, parts, held_by):
+            begins = _starts(pair[mine])
+            own = pair[mine[begins]]
+            h, x, y = _own_words(words, u[own], w[own])
+            step = np.diff(doc[mine], prepend=0)
+            step[begins] = doc[mine[begins]]
+            rows.append((p, 3, flush, pack(deltas(h), deltas(x), y, held_by[own], step, n[mine])))
+        out = _batch([*rows, (flush % parts, 4, flush, pack(np.concatenate([x[0].to_numpy(zero_copy_only=False) for x in rest]).astype(np.int64), lengths))])
+        ids = pa.concat_arrays([x[1] for x in rest])
+        lists = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([*out.columns, lists], [*_NAMES, "ids"])
+
+    return lambda batches: itertools.starmap(cells, enumerate(flushes(batches, size)))
+
+
+def _merge(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a part's words, and its pairs (u, w, c) in order of u and w. Cells are unpacked as they come and kept as narrow as they go."""
+    found = []
+    for x in cells:
+        h, u, w, c = unpack(x)
+        found.append((sums(h), np.cumsum(u).astype(np.min_scalar_type(len(h))), w.astype(np.min_scalar_type(len(h))), c.astype(np.min_scalar_type(c.max()))))
+        del h, u, w, c
+    words = np.unique(np.concatenate([h for h, *_ in found]))
+    key, a = np.empty(sum(len(c) for *_, c in found), np.int64), 0
+    counts = np.empty(len(key), np.result_type(*(c.dtype for *_, c in found)))
+    for k in range(len(found)):
+        h, u, w, c = found[k]
+        found[k] = None
+        at = np.searchsorted(words, h)
+        own = key[a : a + len(c)]
+        own[:] = at[u]
+        own *= len(words)
+        own += at[w]
+        counts[a : a + len(c)] = c
+        a += len(c)
+        del h, u, w, c, at, own
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, counts = key[order], counts[order]
+    del order
     at = _starts(key)
-    c = np.add.reduceat(np.concatenate([x[3] for x in found])[order], at)
-    return words, *np.divmod(key[at], len(words)), c
+    return words, *np.divmod(key[at], len(words)), np.add.reduceat(counts, at, dtype=np.int64)
 
 
 def _shard(blob: bytes):
@@ -575,7 +622,7 @@ def _first(bits: int):
     """From a part's cells: the part (0), its words' counts for the words' totals (1), its tokens and pairs seen once and twice (2)."""
 
     def f(p, rows):
-        words, u, w, c = _merge([blob for *_, blob in rows])
+        words, u, w, c = _merge(blob for *_, blob in rows)
         n = len(words)
         yield p, 0, p, pack(deltas(words), deltas(u), w, c)
         once, many = c == 1, c > 1
@@ -725,23 +772,24 @@ def _asked(bits: int):
     def f(p, rows):
         words, u, w, c = _shard(next(rows)[3])
         s = _State.of(next(rows)[3])
-        seatings = _seatings(c, s)
         n = len(words)
-        counts = [_add(w, n, c), *(_add(u, n, t) for t in seatings), *(_add(w, n, t) for t in seatings)]
+        counts = [_add(w, n, c), *(_add(u, n, _seating(c, t)) for t in s.samples), *(_add(w, n, _seating(c, t)) for t in s.samples)]
         for q, at in _by_word(words, bits):
             yield q, 1, p, pack(deltas(words[at]), *(x[at] for x in counts))
 
     return _each(f)
 
 
+def _seating(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The tables of all pairs, from those of the pairs seen more than once."""
+    out = np.minimum(c, 1)
+    out[c > 1] = t
+    return out
+
+
 def _seatings(c: np.ndarray, s: _State) -> list[np.ndarray]:
     """The tables of all pairs of a part in each sample."""
-    out = []
-    for t in s.samples:
-        all_t = np.minimum(c, 1)
-        all_t[c > 1] = t
-        out.append(all_t)
-    return out
+    return [_seating(c, t) for t in s.samples]
 
 
 def _totals(q, rows):
@@ -778,8 +826,16 @@ class Model:
         words, u, w, c = _shard(shard)
         n, *more = _gather(totals)
         k = len(self.rates)
-        p = self.probabilities(n[u], [x[u] for x in more[:k]], n[w], [x[w] for x in more[k:]], c, _seatings(c, _State.of(state)))
-        return words, u * len(words) + w, np.log10(p), np.log10((n + 1) / (self.train_tokens + self.words + 1)), n > 0
+        samples = _State.of(state).samples
+        logs, seen = np.empty(len(c)), 0  # seen: pairs before the block with a seating of their own
+        for a in range(0, len(c), BLOCK):
+            x, y, z = (v[a : a + BLOCK] for v in (u, w, c))
+            own = slice(seen, seen := seen + int((z > 1).sum()))
+            p = self.probabilities(n[x], [v[x] for v in more[:k]], n[y], [v[y] for v in more[k:]], z, [_seating(z, t[own]) for t in samples])
+            logs[a : a + BLOCK] = np.log10(p)
+        u *= len(words)
+        u += w
+        return words, u, logs, np.log10((n + 1) / (self.train_tokens + self.words + 1)), n > 0
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -848,7 +904,7 @@ def _scored(model: Model, kind: str):
                 if of == 4:
                     out, ids = (flush, 0, flush, blob), ids
                 else:
-                    part = part or numbers.part(blobs[0][0], blobs[1][0], blobs[2])
+                    part = part or numbers.part(blobs[0].pop(), blobs[1].pop(), blobs[2])
                     words, keys, logs, base, known = part
                     h, u, w, held_by, step, n = unpack(blob)
                     at = np.searchsorted(words, sums(h))

@@ -1,14 +1,18 @@
 """Near duplicates, decontamination, packing, WARC, language model and PII against plain Python."""
 
 import base64
+import gc
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -300,6 +304,49 @@ def test_language_model_is_the_same_in_other_parts_and_batches(spark, sf):
     assert kept.keys() == again.keys() and all(abs(kept[k] - again[k]) < 1e-6 for k in kept)
 
 
+def peak(run):
+    """The bytes that ``run`` holds at most, and its result."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_model_holds_one_flush_and_one_part(monkeypatch):
+    monkeypatch.setattr(hpylm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(50_000)])
+    lengths = [400] * 1500 + [250_000]  # the last text is a flush of its own
+    texts = [" ".join(vocabulary[(50_000 * rng.random(n) ** 3).astype(int)]) for n in lengths]
+    frame = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 500]), pa.array([False] * len(texts[k : k + 500])), pa.array(range(k, k + len(texts[k : k + 500])))], ["body", "held_out", "doc_id"]) for k in range(0, len(texts), 500)]
+    size = 100_000
+    rows = lambda made: [r for b in made for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    for job in (hpylm.count_cells, hpylm.post_cells):
+        most, made = peak(lambda job=job: [len(b) for b in job(4, size)(iter(frame))])
+        assert most < 100 * 250_001 and len(made) >= 7  # bytes a token of the longest flush; 600,000 tokens in flushes of 150,000 at most, and one
+        held = [sum(len(x[0]) for x in f) for f in hpylm.flushes(iter(frame), size)]
+        assert sum(held) == sum(lengths) + len(lengths) and held[-1] == 250_001 and max(held[:-1]) <= size * 3 // 2
+    # What a part is merged from and scored with: bytes a pair of its cells, and of the part.
+    cells = [r for r in rows(hpylm.count_cells(1, size)(iter(frame))) if r[0] == 0]
+    pairs = sum(len(hpylm.unpack(r[3])[2]) for r in cells)
+    packed = [hpylm._batch(cells)]
+    most, first = peak(lambda: rows(hpylm._first(1)(iter(packed))))
+    assert most < 75 * pairs
+    shard = next(r[3] for r in first if r[1] == 0)
+    c = hpylm.unpack(shard)[3]
+    many, words = int((c > 1).sum()), len(hpylm.unpack(shard)[0])
+    state = hpylm._State(np.arange(1, dtype=np.uint64), *(np.zeros(0, np.int64),) * 7, [np.ones(many, np.int64)] * 3).packed()
+    model = hpylm.Model(1, 1, len(c), words, None, None, None, [hpylm.Rates(0.5, 1.0, 0.5, 1.0, len(c))] * 3, [])
+    totals = hpylm.pack(*[np.ones(words, np.int64)] * 7)
+    monkeypatch.setattr(hpylm, "BLOCK", 1 << 14)
+    most, (_, _, logs, _, _) = peak(lambda: model.part(shard, state, [totals]))
+    whole = model.probabilities(1, [1] * 3, np.ones(len(c)), [1] * 3, c, [np.minimum(c, 1)] * 3)
+    assert most < 75 * len(c) and np.allclose(logs, np.log10(whole), rtol=0, atol=1e-12)
+
+
 def word_totals(model):
     """hash: (n, tables by sample, customers at the root by sample); (u, w): (c, tables by sample)."""
     k, words, pairs = len(model.rates), {}, {}
