@@ -28,6 +28,7 @@ SHINGLE = 5
 #: at most SENT_ROWS, so that what lies in Arrow's buffers on both sides stays small.
 BATCH_ROWS, SENT_ROWS = 1000, 4000
 _SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,11 +106,19 @@ class Workspace:
         while self.others:
             _delete(self.spark, self.others.pop())
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """The table, written and read again; ``by`` makes a folder for each value of that column."""
+    def write(self, df: DataFrame, name: str, by: str | None = None, free: bool = False) -> DataFrame:
+        """The table, written and read again; ``by`` makes a folder for each value of that column.
+
+        ``free``: the files of its shuffles go as soon as it is written, not when the driver happens to collect its garbage.
+        """
         at = f"{self.path}/{name}"
         out = df.write.mode("overwrite").option("compression", "zstd")
-        (out.partitionBy(by) if by else out).parquet(at)
+        before = self.spark.conf.get(_FREED)
+        self.spark.conf.set(_FREED, "true" if free else before)
+        try:
+            (out.partitionBy(by) if by else out).parquet(at)
+        finally:
+            self.spark.conf.set(_FREED, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

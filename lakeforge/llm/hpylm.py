@@ -851,7 +851,7 @@ def fit(texts: DataFrame, ws: Workspace, *, burn: int = BURN, samples: int = SAM
 
     def job(rows: DataFrame, to: int, f, name: str):
         """The rows that ``f`` makes of rows at their dest, by kind."""
-        done = ws.write(_to_parts(rows, to).mapInArrow(f, _ROW), name, by="kind")
+        done = ws.write(_to_parts(rows, to).mapInArrow(f, _ROW), name, by="kind", free=True)
         return lambda kind: done.where(F.col("kind") == kind).select(*_NAMES)
 
     def numbers(rows: DataFrame) -> np.ndarray:
@@ -884,7 +884,7 @@ def fit(texts: DataFrame, ws: Workspace, *, burn: int = BURN, samples: int = SAM
         theta = _drawn(THETAS, still + np.array(log), 2 * k)
         root_theta = _drawn(ROOT_THETAS, restaurant_log(ROOT_THETAS, root_d, np.array([max(words, 1)]), np.array([max(to_root(), 1)])), 2 * k + 1)
     asked = _to_parts(shards.union(state(0).withColumn("kind", F.lit(1))), parts).mapInArrow(_asked(bits), _ROW)
-    totals = ws.write(_to_parts(asked, 1 << bits).mapInArrow(_each(_totals), _ROW), "totals")
+    totals = ws.write(_to_parts(asked, 1 << bits).mapInArrow(_each(_totals), _ROW), "totals", free=True)
     return Model(parts, bits, int(tokens), int(words), shards, state(0).withColumn("kind", F.lit(1)), totals, kept, tables)
 
 

@@ -4,8 +4,10 @@ import base64
 import gc
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -347,6 +349,21 @@ def test_language_model_holds_one_flush_and_one_part(monkeypatch):
     assert most < 75 * len(c) and np.allclose(logs, np.log10(whole), rtol=0, atol=1e-12)
 
 
+def test_language_model_leaves_no_shuffle_files(spark, sf):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    texts = hpylm.split(table(spark, sf, "documents").limit(60).cache())
+    texts.count()
+    before = files()
+    hpylm.fit(texts, Workspace(spark, "t"), burn=1, samples=1, parts=2)
+    left = lambda: sum(os.path.getsize(x) for x in files() - before if os.path.exists(x))
+    for _ in range(20):
+        if left() < 50_000:
+            break
+        time.sleep(0.5)
+    assert left() < 50_000  # those of the numbers that go to the driver
+
+
 def word_totals(model):
     """hash: (n, tables by sample, customers at the root by sample); (u, w): (c, tables by sample)."""
     k, words, pairs = len(model.rates), {}, {}
