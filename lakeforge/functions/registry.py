@@ -445,13 +445,14 @@ SCALAR |= {
 
 @dataclass(frozen=True)
 class Aggregate:
-    """``build(arguments, parameters)`` -> the aggregate's SQL; ``distinct``: DISTINCT is allowed."""
+    """``build(arguments, parameters)`` -> the aggregate's SQL; ``distinct``: DISTINCT is allowed; ``first``: the first of several rows that tie wins."""
 
     least: int
     most: int
     build: Callable[[list[Sql], list[str], str], Sql]
     distinct: bool = False
     parameters: int = 0
+    first: bool = False
 
 
 def _sum(a, p, d):
@@ -517,6 +518,29 @@ def _same(name: str, extra: str = "") -> Callable:
     return lambda a, p, d: Sql(f"{name}({a[0].text}{extra})", a[0].kind)
 
 
+#: A row's place: the number of its folder, its file, its number there. ``PLACE_MADE``: of rows that come from no file.
+ROW = "_lf_row"
+PLACE_MADE = "struct(0 AS folder, '' AS file, monotonically_increasing_id() AS row)"
+
+
+def _back(row: str) -> str:
+    """Places in falling order: a file's name as the complement of its hexadecimal digits, ended by a byte beyond them."""
+    return f"struct(-{row}.folder, concat(translate(hex({row}.file), '0123456789ABCDEF', 'FEDCBA9876543210'), '~'), -{row}.row)"
+
+
+def _arg(name: str) -> Callable:
+    """The value at the least or greatest key; the third argument, if any, is the relations' places, by which the first row wins."""
+
+    def build(a, p, d):
+        by = a[1].text
+        if len(a) > 2:
+            rows = a[2].text.split(", ")
+            by = f"CASE WHEN {by} IS NOT NULL THEN struct({by}, {', '.join(rows if name == 'min_by' else map(_back, rows))}) END"
+        return Sql(f"{name}({a[0].text}, {by})", a[0].kind)
+
+    return build
+
+
 def _float(name: str) -> Callable:
     return lambda a, p, d: Sql(f"{name}({as_double(a[0])})", FLOAT)
 
@@ -529,8 +553,8 @@ AGGREGATE: dict[str, Aggregate] = {
     "max": Aggregate(1, 1, _same("max")),
     "any": Aggregate(1, 1, _same("first", ", true")),
     "anylast": Aggregate(1, 1, _same("last", ", true")),
-    "argmin": Aggregate(2, 2, lambda a, p, d: Sql(f"min_by({a[0].text}, {a[1].text})", a[0].kind)),
-    "argmax": Aggregate(2, 2, lambda a, p, d: Sql(f"max_by({a[0].text}, {a[1].text})", a[0].kind)),
+    "argmin": Aggregate(2, 2, _arg("min_by"), first=True),
+    "argmax": Aggregate(2, 2, _arg("max_by"), first=True),
     "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"coalesce(hll_sketch_estimate(hll_sketch_agg({_sketched(a[0])}, 14)), 0)", INT), True),
     "uniqexact": Aggregate(1, 1, lambda a, p, d: Sql(f"count(DISTINCT {a[0].text})", INT), True),
     "grouparray": Aggregate(1, 1, _group_array, True, parameters=1),

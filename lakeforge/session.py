@@ -9,14 +9,15 @@ from collections import deque
 from contextlib import contextmanager
 from threading import Timer
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import ENGINES, Catalog, Column, Table
-from .functions.registry import truth
+from .functions.registry import ROW, truth
 from .plans.lexer import split_statements
 from .plans.parser import Node, Parser, Query, Select
-from .plans.translate import Columns, Scope, Translator, quote_name
+from .plans.translate import Columns, Scope, Translator, quote_name, quote_text
 from .sources import csvio
 from .sources.storage import Store, dump
 from .types import DialectError, kind_of, type_named
@@ -60,6 +61,7 @@ class Session:
         self.broken = False
         self._tag = uuid.uuid4().hex[:8]
         self._views: dict[str, str] = {}
+        self._registered: dict[str, DataFrame] = {}
 
     def _stored(self) -> dict | None:
         at = f"{self.store.root}/catalog.json"
@@ -71,6 +73,7 @@ class Session:
         """Make a DataFrame a table that statements can read."""
         view = f"lf_{self._tag}_{name}".replace(".", "_")
         df.createOrReplaceTempView(view)
+        self._registered[view] = df  # a view doesn't show the files of its rows
         columns = [Column(f.name, _dialect_type(f.dataType.simpleString()), True) for f in df.schema if kind_of(f.dataType.simpleString()).family != "any"]
         self.catalog.tables[self.qualify(name)] = Table(name, columns, "Memory", external=view)
 
@@ -132,8 +135,25 @@ class Session:
             self._frame(t).createOrReplaceTempView(self._views[key])
         return self._views[key], [(c.name, c.kind) for c in t.columns]
 
+    def _placed(self, name: str) -> str | None:
+        """A view of a table's rows with the place of each, which follows from its folder, file and number there; None if they come from no Parquet files."""
+        if name.lower().startswith(("system.", "information_schema.")) or self.qualify(name) in self.catalog.views:
+            return None
+        t = self._table(name)
+        if t.external not in self._registered if t.external else not t.paths:
+            return None
+        names = ", ".join(quote_text(p.rsplit("/", 1)[-1]) for p in t.paths)
+        folder = "0" if t.external else f"CAST(array_position(array({names}), regexp_extract(_metadata.file_path, '([^/]+)/[^/]*$', 1)) AS INT)"
+        view = f"{self._columns_of(name)[0]}_placed"
+        try:
+            frame = self._registered[t.external] if t.external else self._frame(t)
+            frame.select("*", F.expr(f"struct({folder} AS folder, _metadata.file_path AS file, _metadata.row_index AS row)").alias(ROW)).createOrReplaceTempView(view)
+        except AnalysisException:
+            return None
+        return view
+
     def translator(self) -> Translator:
-        return Translator(self._columns_of)
+        return Translator(self._columns_of, self._placed)
 
     def to_spark_sql(self, text: str) -> str:
         """The Spark SQL that a query of the dialect becomes."""
