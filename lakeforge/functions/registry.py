@@ -144,10 +144,12 @@ def _substring(s: Sql, o: Sql, n: Sql | None = None) -> Sql:
     if o.text.isdigit() and o.text != "0" and (n is None or n.text.isdigit()):
         return Sql(f"substring({s.text}, {o.text}{', ' + n.text if n else ''})", STR)
     size = f"char_length({s.text})"
-    start = f"least(greatest(CASE WHEN {o.text} > 0 THEN {o.text} - 1 WHEN {o.text} = 0 THEN 0 ELSE {size} + {o.text} END, 0), {size})"
+    begin = f"CASE WHEN {o.text} > 0 THEN {o.text} - 1 WHEN {o.text} = 0 THEN 0 ELSE {size} + {o.text} END"
+    start = f"least(greatest({begin}, 0), {size})"
     if n is None:
         return Sql(f"substring({s.text}, CAST({start} AS INT) + 1)", STR)
-    length = f"greatest(CASE WHEN {n.text} >= 0 THEN {n.text} ELSE {size} + {n.text} - {start} END, 0)"
+    # An offset before the text's start uses up characters that aren't there: of 'De.', -4 and 2 take 'D'.
+    length = f"greatest(CASE WHEN {n.text} >= 0 THEN {n.text} + least({begin}, 0) ELSE {size} + {n.text} - {start} END, 0)"
     return Sql(f"substring({s.text}, CAST({start} AS INT) + 1, CAST({length} AS INT))", STR)
 
 

@@ -35,3 +35,10 @@ def test_the_first_of_stored_rows_that_tie_wins(spark):
     assert rows(s.sql("SELECT argMin(id, k) AS lo, argMax(id, k) AS hi FROM r")) == [(5, 5)]
     s.run("CREATE TABLE e (id Int64) ENGINE = MergeTree ORDER BY id; CREATE VIEW v AS SELECT id, 1 AS k FROM r")
     assert rows(s.sql("SELECT argMin(id, 1) AS x FROM e")) == [(None,)] and rows(s.sql("SELECT argMin(id, k) > 0 AS x FROM v")) == [(True,)]
+
+
+def test_an_offset_before_the_texts_start(spark):
+    s = Session(spark)
+    one = lambda e: s.sql(f"SELECT {e} AS x").first()[0]
+    assert [one(f"mid('{t}', -4, 2)") for t in ("", "A.", "De.", "Dear", "Dears")] == ["", "", "D", "De", "ea"]
+    assert one("substring('De.', -9, 2)") == "" and one("substring('De.', -4)") == "De." and one("substring('De.', -4, -1)") == "De" and one("substring('De.', -4, 99)") == "De."
