@@ -447,7 +447,7 @@ SCALAR |= {
 
 @dataclass(frozen=True)
 class Aggregate:
-    """``build(arguments, parameters)`` -> the aggregate's SQL; ``distinct``: DISTINCT is allowed; ``first``: the first of several rows that tie wins."""
+    """``build(arguments, parameters)`` -> the aggregate's SQL; ``distinct``: DISTINCT is allowed; ``first``: the first of several rows that tie wins; ``ranked``: the quantile that it is, to be found by rank."""
 
     least: int
     most: int
@@ -455,6 +455,7 @@ class Aggregate:
     distinct: bool = False
     parameters: int = 0
     first: bool = False
+    ranked: Callable | None = None
 
 
 def _sum(a, p, d):
@@ -504,6 +505,16 @@ def _quantile_exact(a, p, d):
     return Sql(f"percentile_disc({1 - _fraction(p)}) WITHIN GROUP (ORDER BY {as_double(x)} DESC)", FLOAT)
 
 
+def _ranked(between: bool) -> Callable:
+    def build(x: Sql, p: list[str], distinct: bool):
+        from ..plans.ranks import Wanted
+
+        decimal = x.kind.family == "dec"
+        return Wanted(x.text if decimal else as_double(x), distinct, _fraction(p), between, x.kind.scale if decimal else None, max(x.kind.scale, 6) if decimal else None)
+
+    return build
+
+
 def _group_array(a, p, d):
     most = int(p[0]) if p else 10_000
     every = f"collect_list({to_string(a[0]).text})"
@@ -560,9 +571,9 @@ AGGREGATE: dict[str, Aggregate] = {
     "uniq": Aggregate(1, 1, lambda a, p, d: Sql(f"coalesce(hll_sketch_estimate(hll_sketch_agg({_sketched(a[0])}, 14)), 0)", INT), True),
     "uniqexact": Aggregate(1, 1, lambda a, p, d: Sql(f"count(DISTINCT {a[0].text})", INT), True),
     "grouparray": Aggregate(1, 1, _group_array, True, parameters=1),
-    "quantile": Aggregate(1, 1, _quantile, True, parameters=1),
-    "quantileexact": Aggregate(1, 1, _quantile_exact, True, parameters=1),
-    "median": Aggregate(1, 1, _quantile, True),
+    "quantile": Aggregate(1, 1, _quantile, True, parameters=1, ranked=_ranked(True)),
+    "quantileexact": Aggregate(1, 1, _quantile_exact, True, parameters=1, ranked=_ranked(False)),
+    "median": Aggregate(1, 1, _quantile, True, ranked=_ranked(True)),
     "varpop": Aggregate(1, 1, _float("var_pop")),
     "varsamp": Aggregate(1, 1, _float("var_samp")),
     "stddevpop": Aggregate(1, 1, _float("stddev_pop")),
